@@ -25,6 +25,9 @@ from .common import components, cut, grams, lists, read, small_batches, word_has
 #: A pivot that lies in this many windows comes last in the global order.
 COMMON = 100
 
+#: Up to so many common pivots (8 bytes each) are sent to every executor.
+SMALL = 500_000
+
 
 def window_size(n, percent: int):
     """The first n - ceil(percent * n / 100) + 1 = floor((100 - percent) * n / 100) + 1 pivots."""
@@ -83,9 +86,10 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     first = sets.select("rep", "n", F.explode(F.slice("sh", 1, size)).alias("pivot"))
     counts = first.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
     common = cut(counts.where(F.col("c") > COMMON).select("pivot"))
-    windows = cut(reordered(sets, common, percent))
-    held = windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("least")).where("c > 1")
-    held = cut(held)
+    windows = reordered(sets, common, percent)
+    held = cut(windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("least")).where("c > 1"))
+    # pivots of one set only, by far the most, are gone before windows are written
+    windows = cut(windows.join(held.select("pivot"), "pivot", "left_semi"))
     # step 1: each region's members against its least member
     star = windows.join(held, "pivot").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(verified(star, sets, percent))
@@ -115,14 +119,31 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
 def reordered(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
     """(rep, n, pivot): each set's window in the order uncommon pivots by hash, then common ones by hash.
 
-    Only sets that hold a common pivot in their first window change. Their common members are joined in, so no
-    list of pivots is broadcast by hand.
+    Up to SMALL common pivots go to the executors as one sorted array. Beyond that they are joined to the members of
+    those sets that hold one in their first window; the windows of all other sets are the same in either order.
     """
     size = window_size(F.col("n"), percent)
-    flat = sets.select("rep", F.explode("sh").alias("pivot")).join(common, "pivot").groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("late"))
+    few = common.limit(SMALL + 1).toArrow().column("pivot").to_numpy()
+    if len(few) <= SMALL:
+        late = np.sort(few)
+
+        @arrow_udf("array<bigint>")
+        def ordered(column: pa.Array, sizes: pa.Array) -> pa.Array:
+            out = []
+            for x, k in zip(lists(column), sizes.to_pylist()):
+                mask = np.isin(x, late)
+                out.append(np.concatenate([x[~mask], x[mask]])[:k] if mask.any() else x[:k])
+            ends = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
+
+        return sets.select("rep", "n", F.explode(ordered("sh", size)).alias("pivot"))
+    first = sets.select("rep", F.explode(F.slice("sh", 1, size)).alias("pivot"))
+    moved = first.join(common, "pivot", "left_semi").select("rep").distinct()
+    members = sets.join(moved, "rep", "left_semi").select("rep", F.explode("sh").alias("pivot"))
+    flat = members.join(common, "pivot", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("late"))
     both = sets.join(flat, "rep", "left")
-    ordered = F.when(F.col("late").isNull(), F.col("sh")).otherwise(F.concat(F.array_except("sh", "late"), F.col("late")))
-    return both.select("rep", "n", F.explode(F.slice(ordered, 1, size)).alias("pivot"))
+    order = F.when(F.col("late").isNull(), F.col("sh")).otherwise(F.concat(F.array_except("sh", "late"), F.col("late")))
+    return both.select("rep", "n", F.explode(F.slice(order, 1, size)).alias("pivot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
