@@ -57,12 +57,28 @@ def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(lists(a), lists(b))], pa.int32())
 
 
+@arrow_udf("int")
+def most_overlap(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Array:
+    """An upper bound of the intersection from two windows of one order: members shared by the windows, and all behind one."""
+    out = [
+        len(np.intersect1d(x, y)) + max(m - len(x), n - len(y))
+        for x, m, y, n in zip(lists(a), na.to_pylist(), lists(b), nb.to_pylist())
+    ]
+    return pa.array(out, pa.int32())
+
+
+def paired(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs with n and the given array of both sides; only sets that are in a pair are shuffled."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col(column).alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    own = lambda x: side(x).join(pairs.select(x).distinct(), x, "left_semi")
+    return pairs.join(own("a"), "a").join(own("b"), "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives with 100 * intersection >= percent * union."""
-    left = sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa"), F.col("n").alias("na"))
-    right = sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", overlap("sa", "sb"))
-    return both.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    """Pairs (a, b) of representatives with 100 * intersection >= percent * union; windows first, then whole sets."""
+    enough = lambda c: c * 100 >= percent * (F.col("na") + F.col("nb") - c)
+    left = cut(paired(cut(pairs), sets, "win").where(enough(most_overlap("sa", "na", "sb", "nb"))).select("a", "b"))
+    return paired(left, sets, "sh").where(enough(overlap("sa", "sb"))).select("a", "b")
 
 
 def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,12 +102,17 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     first = sets.select("rep", "n", F.explode(F.slice("sh", 1, size)).alias("pivot"))
     counts = first.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
     common = cut(counts.where(F.col("c") > COMMON).select("pivot"))
-    windows = reordered(sets, common, percent)
-    held = cut(windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("least")).where("c > 1"))
+    sets = cut(reordered(sets, common, percent))
+    windows = sets.select("rep", "n", F.explode("win").alias("pivot"))
+    held = cut(windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("least")).where("c > 1"))
     # pivots of one set only, by far the most, are gone before windows are written
     windows = cut(windows.join(held.select("pivot"), "pivot", "left_semi"))
     # step 1: each region's members against its least member
-    star = windows.join(held, "pivot").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    close = lambda x, y: (x * 100 >= percent * y) & (y * 100 >= percent * x)
+    star = (
+        windows.join(held, "pivot").where((F.col("rep") != F.col("least.rep")) & close(F.col("n"), F.col("least.n")))
+        .select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    )
     links = cut(verified(star, sets, percent))
     parts = components(links)
     # step 2: members of one region that lie in different components, by regions that still hold several
@@ -104,7 +125,7 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     pairs = (
         x.join(y, "pivot")
         .where((F.col("rep_x") < F.col("rep_y")) & (F.col("part_x") != F.col("part_y")))
-        .where((F.col("n_x") * 100 >= percent * F.col("n_y")) & (F.col("n_y") * 100 >= percent * F.col("n_x")))
+        .where(close(F.col("n_x"), F.col("n_y")))
         .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
         .distinct()
     )
@@ -117,7 +138,7 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
 
 
 def reordered(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, pivot): each set's window in the order uncommon pivots by hash, then common ones by hash.
+    """Adds win: each set's window in the order uncommon pivots by hash, then common ones by hash.
 
     Up to SMALL common pivots go to the executors as one sorted array. Beyond that they are joined to the members of
     those sets that hold one in their first window; the windows of all other sets are the same in either order.
@@ -136,14 +157,14 @@ def reordered(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
             ends = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
 
-        return sets.select("rep", "n", F.explode(ordered("sh", size)).alias("pivot"))
+        return sets.withColumn("win", ordered("sh", size))
     first = sets.select("rep", F.explode(F.slice("sh", 1, size)).alias("pivot"))
     moved = first.join(common, "pivot", "left_semi").select("rep").distinct()
     members = sets.join(moved, "rep", "left_semi").select("rep", F.explode("sh").alias("pivot"))
     flat = members.join(common, "pivot", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("late"))
     both = sets.join(flat, "rep", "left")
     order = F.when(F.col("late").isNull(), F.col("sh")).otherwise(F.concat(F.array_except("sh", "late"), F.col("late")))
-    return both.select("rep", "n", F.explode(F.slice(order, 1, size)).alias("pivot"))
+    return both.select("rep", "n", "sh", F.slice(order, 1, size).alias("win"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
