@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import IntegerType
 
 from .common import components, cut, grams, lists, read, small_batches, word_hashes
 
@@ -52,12 +53,12 @@ def shingle_sets(width: int):
     return make
 
 
-@arrow_udf("int")
+@arrow_udf(IntegerType())
 def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(lists(a), lists(b))], pa.int32())
 
 
-@arrow_udf("int")
+@arrow_udf(IntegerType())
 def most_overlap(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Array:
     """An upper bound of the intersection from two windows of one order: members shared by the windows, and all behind one."""
     out = [
