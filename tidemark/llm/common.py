@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -26,10 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     Where the setting is absent (tests on one machine) a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    # what is cut is on disk, so the shuffle files behind it go at once rather than at some later collection of garbage
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -47,7 +57,7 @@ def word_hashes(text: Column) -> Column:
 
 def grams(values: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the runs of n word hashes; a shorter text gives one hash of the whole, an empty one none."""
-    values = values.astype(np.int64).view(np.uint64)
+    values = values.view(np.uint64)
     if not len(values):
         return values.view(np.int64)
     width = min(n, len(values))
@@ -61,6 +71,64 @@ def grams(values: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Texts are hashed in runs of about so many bytes, which bounds the arrays held at once; a longer text stands alone.
+RUN_BYTES = 1 << 20
+
+
+@lru_cache(1)
+def byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """A random value for each byte, the same for a letter A-Z and its lower case, and which bytes are white space."""
+    value = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+    value[65:91] = value[97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    return value, space
+
+
+@lru_cache(2)
+def powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(count - 1, base, np.uint64)])
+
+
+def hashed_words(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words, A-Z lowered; none for null and blank texts.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, from differences of one running sum over many texts.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    k = 0
+    while k < len(column):
+        stop = max(k + 1, int(np.searchsorted(ends, ends[k] + RUN_BYTES, "right")) - 1)
+        yield from run_of_words(data[ends[k] : ends[stop]], ends[k : stop + 1] - ends[k])
+        k = stop
+
+
+def run_of_words(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    if not len(data):
+        return [np.zeros(0, np.uint64)] * (len(ends) - 1)
+    value, space = byte_values()
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+    room = 1 << max(20, (len(data) + 1).bit_length())
+    inside = ~space[data]
+    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+    before[ends[:-1][ends[:-1] < len(data)]] = False
+    after[ends[1:][ends[1:] > 0] - 1] = False
+    start, stop = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[data] * powers(base, room)[: len(data)], out=total[1:])
+    out = (total[stop] - total[start]) * powers(inverse, room)[start]
+    out += (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return np.split(out, np.searchsorted(start, ends[1:-1]))
+
+
 def lists(column: pa.Array) -> list[np.ndarray]:
     """The rows of a list array as numpy arrays without a copy for each value."""
     if isinstance(column, pa.ChunkedArray):

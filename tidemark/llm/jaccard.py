@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-from .common import components, cut, grams, lists, read, small_batches, word_hashes
+from .common import components, cut, grams, hashed_words, lists, read, small_batches
 
 #: A pivot that lies in this many windows comes last in the global order.
 COMMON = 100
@@ -29,26 +29,47 @@ COMMON = 100
 #: Up to so many common pivots (8 bytes each) are sent to every executor.
 SMALL = 500_000
 
+#: Up to so many ids of representatives in a pair (8 bytes each) are broadcast.
+FEW_IDS = 1_000_000
+
 
 def window_size(n, percent: int):
     """The first n - ceil(percent * n / 100) + 1 = floor((100 - percent) * n / 100) + 1 pivots."""
     return F.floor(n * (100 - percent) / 100).cast("int") + 1
 
 
+def as_lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    return np.unique(grams(words, width))
+
+
 def shingle_sets(width: int):
-    @arrow_udf("struct<cls:binary,n:int,sh:array<bigint>>")
+    @arrow_udf("array<bigint>")
     def make(column: pa.Array) -> pa.Array:
-        rows = [np.unique(grams(x, width)) for x in lists(column)]
-        ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
-        values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([hashlib.md5(r.tobytes()).digest() for r in rows], pa.binary()),
-                pa.array([len(r) for r in rows], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64())),
-            ],
-            names=["cls", "n", "sh"],
-        )
+        return as_lists([shingle_set(x, width) for x in hashed_words(column)])
+
+    return make
+
+
+def windows_of(width: int, percent: int, late: np.ndarray | None = None):
+    """Of each text the hash and size of its set, and its window: pivots by hash, those of the sorted array late last."""
+    late = np.zeros(0, np.int64) if late is None else late
+
+    @arrow_udf("struct<cls:binary,n:int,win:array<bigint>>")
+    def make(column: pa.Array) -> pa.Array:
+        cls, sizes, wins = [], [], []
+        for words in hashed_words(column):
+            x = shingle_set(words, width)
+            k = (100 - percent) * len(x) // 100 + 1
+            mask = np.isin(x, late, assume_unique=True) if len(late) else None
+            cls.append(hashlib.md5(x.tobytes()).digest())
+            sizes.append(len(x))
+            wins.append(np.concatenate([x[~mask], x[mask]])[:k] if mask is not None and mask.any() else x[:k].copy())
+        return pa.StructArray.from_arrays([pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), as_lists(wins)], names=["cls", "n", "win"])
 
     return make
 
@@ -75,11 +96,19 @@ def paired(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(own("a"), "a").join(own("b"), "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives with 100 * intersection >= percent * union; windows first, then whole sets."""
+def verified(pairs: DataFrame, wins: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of representatives with 100 * intersection >= percent * union; windows first, then whole sets.
+
+    Whole sets are made again from the texts of representatives that are still in a pair. Up to FEW_IDS of their ids
+    are broadcast, so that the other texts are not shuffled; beyond that the join shuffles.
+    """
     enough = lambda c: c * 100 >= percent * (F.col("na") + F.col("nb") - c)
-    left = cut(paired(cut(pairs), sets, "win").where(enough(most_overlap("sa", "na", "sb", "nb"))).select("a", "b"))
-    return paired(left, sets, "sh").where(enough(overlap("sa", "sb"))).select("a", "b")
+    left = cut(paired(cut(pairs), wins, "win").where(enough(most_overlap("sa", "na", "sb", "nb"))).select("a", "b"))
+    ids = cut(left.select(F.col("a").alias("rep")).union(left.select("b")).distinct())
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    own = wins.select("rep", "n").join(sets.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "rep").select("rep", "n", shingle_sets(width)("t").alias("sh"))
+    return paired(left, cut(own), "sh").where(enough(overlap("sa", "sb"))).select("a", "b")
 
 
 def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,20 +119,19 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     """
     spark = docs.sparkSession
     small_batches(spark)
-    made = docs.select(F.col(key).alias("id"), shingle_sets(width)(word_hashes(F.col(text))).alias("s")).select("id", "s.*")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    classes = cut(made.select("id", "cls", "n"))
-    reps = classes.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    # the sets of representatives only: copies are gone before any set is shuffled
-    only = rows.join(reps.select("rep").withColumnRenamed("rep", "id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(
-        only.select(F.col("id").alias("rep"), shingle_sets(width)(word_hashes(F.col("t"))).alias("s")).select("rep", "s.n", "s.sh")
-    )
-    size = window_size(F.col("n"), percent)
-    first = sets.select("rep", "n", F.explode(F.slice("sh", 1, size)).alias("pivot"))
-    counts = first.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
+    made = lambda late=None: rows.select("id", windows_of(width, percent, late)("t").alias("s")).select("id", "s.*")
+    classes = cut(made())
+    reps = cut(classes.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    # by id alone, so that the join and the removal of repeated rows share one shuffle
+    chosen = reps.select(F.col("rep").alias("id"), F.col("cls").alias("own"))
+    only = lambda df: df.join(chosen, "id").where("cls = own").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "win")
+    texts = rows.withColumnRenamed("id", "rep")
+    first = only(classes)
+    counts = first.select(F.explode("win").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
     common = cut(counts.where(F.col("c") > COMMON).select("pivot"))
-    sets = cut(reordered(sets, common, percent))
+    few = common.limit(SMALL + 1).toArrow().column("pivot").to_numpy()
+    sets = cut(only(made(np.sort(few)))) if len(few) <= SMALL else cut(reordered(first, texts, common, percent, width))
     windows = sets.select("rep", "n", F.explode("win").alias("pivot"))
     held = cut(windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("least")).where("c > 1"))
     # pivots of one set only, by far the most, are gone before windows are written
@@ -114,7 +142,7 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
         windows.join(held, "pivot").where((F.col("rep") != F.col("least.rep")) & close(F.col("n"), F.col("least.n")))
         .select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
-    links = cut(verified(star, sets, percent))
+    links = cut(verified(star, sets, texts, percent, width))
     parts = components(links)
     # step 2: members of one region that lie in different components, by regions that still hold several
     where = windows.join(held.select("pivot"), "pivot").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -130,7 +158,7 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
         .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
         .distinct()
     )
-    more = cut(verified(pairs.join(star, ["a", "b"], "left_anti"), sets, percent))
+    more = cut(verified(pairs.join(star, ["a", "b"], "left_anti"), sets, texts, percent, width))
     whole = components(links.union(more)) if more.limit(1).count() else parts
     named = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     full = classes.where("n > 0").join(named, "cls", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -138,34 +166,19 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     return full.union(empty).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def reordered(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """Adds win: each set's window in the order uncommon pivots by hash, then common ones by hash.
+def reordered(first: DataFrame, texts: DataFrame, common: DataFrame, percent: int, width: int) -> DataFrame:
+    """(rep, n, win) in the order uncommon pivots by hash, then common ones by hash, for more than SMALL common pivots.
 
-    Up to SMALL common pivots go to the executors as one sorted array. Beyond that they are joined to the members of
-    those sets that hold one in their first window; the windows of all other sets are the same in either order.
+    They are joined to the members of those sets that hold one in their first window; the windows of all other sets
+    are the same in either order.
     """
+    moved = first.select("rep", F.explode("win").alias("pivot")).join(common, "pivot", "left_semi").select("rep").distinct()
+    sets = cut(texts.join(moved, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", shingle_sets(width)("t").alias("sh")))
+    flat = sets.select("rep", F.explode("sh").alias("pivot")).join(common, "pivot", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("late"))
+    order = F.concat(F.array_except("sh", "late"), F.col("late"))
+    other = sets.join(flat, "rep").select("rep", order.alias("order"))
     size = window_size(F.col("n"), percent)
-    few = common.limit(SMALL + 1).toArrow().column("pivot").to_numpy()
-    if len(few) <= SMALL:
-        late = np.sort(few)
-
-        @arrow_udf("array<bigint>")
-        def ordered(column: pa.Array, sizes: pa.Array) -> pa.Array:
-            out = []
-            for x, k in zip(lists(column), sizes.to_pylist()):
-                mask = np.isin(x, late)
-                out.append(np.concatenate([x[~mask], x[mask]])[:k] if mask.any() else x[:k])
-            ends = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
-
-        return sets.withColumn("win", ordered("sh", size))
-    first = sets.select("rep", F.explode(F.slice("sh", 1, size)).alias("pivot"))
-    moved = first.join(common, "pivot", "left_semi").select("rep").distinct()
-    members = sets.join(moved, "rep", "left_semi").select("rep", F.explode("sh").alias("pivot"))
-    flat = members.join(common, "pivot", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("late"))
-    both = sets.join(flat, "rep", "left")
-    order = F.when(F.col("late").isNull(), F.col("sh")).otherwise(F.concat(F.array_except("sh", "late"), F.col("late")))
-    return both.select("rep", "n", "sh", F.slice(order, 1, size).alias("win"))
+    return first.join(other, "rep", "left").select("rep", "n", F.coalesce(F.slice("order", 1, size), "win").alias("win"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
