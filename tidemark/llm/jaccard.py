@@ -132,29 +132,30 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     common = cut(counts.where(F.col("c") > COMMON).select("pivot"))
     few = common.limit(SMALL + 1).toArrow().column("pivot").to_numpy()
     sets = cut(only(made(np.sort(few)))) if len(few) <= SMALL else cut(reordered(first, texts, common, percent, width))
-    windows = sets.select("rep", "n", F.explode("win").alias("pivot"))
-    held = cut(windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("least")).where("c > 1"))
+    windows = sets.select("rep", "n", F.posexplode("win").alias("pos", "pivot"))
+    held = cut(windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n", "pos")).alias("least")).where("c > 1"))
     # pivots of one set only, by far the most, are gone before windows are written
     windows = cut(windows.join(held.select("pivot"), "pivot", "left_semi"))
     # step 1: each region's members against its least member
-    close = lambda x, y: (x * 100 >= percent * y) & (y * 100 >= percent * x)
+    # at the first pivot that two sets share, only what stands from there on can be in both
+    close = lambda nx, px, ny, py: F.least(nx - px, ny - py) * (100 + percent) >= percent * (nx + ny)
     star = (
-        windows.join(held, "pivot").where((F.col("rep") != F.col("least.rep")) & close(F.col("n"), F.col("least.n")))
+        windows.join(held, "pivot").where((F.col("rep") != F.col("least.rep")) & close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")))
         .select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
     links = cut(verified(star, sets, texts, percent, width))
     parts = components(links)
     # step 2: members of one region that lie in different components, by regions that still hold several
     where = windows.join(held.select("pivot"), "pivot").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "pivot", "rep", "n", F.coalesce("component", "rep").alias("part")
+        "pivot", "rep", "n", "pos", F.coalesce("component", "rep").alias("part")
     )
     mixed = where.groupBy("pivot").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("pivot")
     open_ = cut(where.join(mixed, "pivot"))
-    x, y = (open_.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part")]) for s in "xy")
+    x, y = (open_.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "pos", "part")]) for s in "xy")
     pairs = (
         x.join(y, "pivot")
         .where((F.col("rep_x") < F.col("rep_y")) & (F.col("part_x") != F.col("part_y")))
-        .where(close(F.col("n_x"), F.col("n_y")))
+        .where(close(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y")))
         .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
         .distinct()
     )
