@@ -64,7 +64,9 @@ def encode_udf(path: str, pattern: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = encoder(path, pattern)
-        return pd.Series([np.asarray(model.encode(t or "").ids, "<u4").tobytes() for t in texts])
+        # the fast call keeps no offsets
+        ids = lambda t: model.encode_batch_fast([t], add_special_tokens=False)[0].ids
+        return pd.Series([np.asarray(ids(t or ""), "<u4").tobytes() for t in texts])
 
     return encode
 
