@@ -130,3 +130,19 @@ def test_toxicity(spark, docs, none):
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "an idiot"), (2, "a woman"), (3, "a man"), (4, None)], "doc_id long, text string"), model).collect()}
     assert got[1] > 0.5 > max(got[2], got[3], 0) and abs(got[2] - got[3]) < 0.05 and 0 <= got[4] <= 1
     assert toxicity.score(none, model).count() == 0
+
+
+def test_toxicity_few_labels(spark):
+    def scores(rows):
+        model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+        asked = spark.createDataFrame([(1, "idiot here"), (2, "clean words")], "doc_id long, text string")
+        return [(r.score, r.predicted) for r in toxicity.score(asked, model).orderBy("doc_id").collect()]
+
+    few = [(i, ("idiot " if i % 2 else "kind ") + f"word{i % 5}", i % 2) for i in range(20)]
+    (bad, _), (_, clean) = scores(few)
+    assert bad > 0.5 and clean == 0
+    share = [(i, ("idiot " if i < 12 else "") + f"word{i % 5}", int(i < 20)) for i in range(40)]
+    assert scores(share)[0][0] > 0.5
+    # nothing to learn: alike in both classes, one class only, no rows
+    assert all(p == 0 for _, p in scores([(i, f"word{i // 2 % 5}", i % 2) for i in range(40)]))
+    assert all(p == 0 for _, p in scores([r for r in few if r[2]])) and all(p == 0 for _, p in scores(few[:1]))
