@@ -146,3 +146,31 @@ def test_toxicity_few_labels(spark):
     # nothing to learn: alike in both classes, one class only, no rows
     assert all(p == 0 for _, p in scores([(i, f"word{i // 2 % 5}", i % 2) for i in range(40)]))
     assert all(p == 0 for _, p in scores([r for r in few if r[2]])) and all(p == 0 for _, p in scores(few[:1]))
+
+
+def test_decontamination_edges(spark, tmp_path, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(300))
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    shared = "one two three four"
+    items = [(1, "zebra"), (2, "red fox jumps"), (3, long), (4, item), (5, None)] + [(10 + i, f"{shared} a{i} b{i} c{i} d{i}") for i in range(7)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    half = " ".join(f"w{i}" for i in range(100, 250))
+    texts = ["here a zebra stands now", "the red fox jumps over it", f"x {half} y", f"so {item} so", "red fox", "plain words of no item", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {(0, 1), (1, 2), (2, 3), (3, 4)}
+    found = lambda: {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows, bench).collect()}
+    assert found() == want
+    # rarity does not hang on the blocks: the seed of 7 items is rare in none of them
+    words = [np.arange(100 * i, 100 * i + 8) for i in range(7)]
+    for w in words:
+        w[:4] = [1, 2, 3, 4]
+    counts = decontaminate.seed_counts(words)
+    whole = set(decontaminate.seed_table(words, counts)[0].tolist())
+    assert whole == {h for w in words for h in decontaminate.seed_table([w], counts)[0].tolist()} and len(whole) == 28
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    assert found() == want
+    # ids that are null or shared by different texts
+    mixed = spark.createDataFrame([(None, texts[3]), (None, texts[5]), (7, texts[2]), (7, texts[4])], "doc_id long, text string")
+    kept = decontaminate.stage(spark, mixed, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, texts[5]), (7, texts[4])]
