@@ -5,9 +5,9 @@ every document is at distance 1 from almost every other, so no window excludes a
 single shingles instead. A document x lies at distance 1 - 1/|x| from each pivot it holds and at 1 from others,
 so its Voronoi region is the first pivot it holds in a global order. Sets within r of x have at least 0.8|x|
 members in common with it, so x is replicated to the first |x| - ceil(0.8|x|) + 1 of its pivots, the window
-within which a partner's region must lie. Regions are then joined recursively: a region first compares its
-members with its least member only; those within r of it form one component and need no comparison with each
-other, and only members of different components are compared in the next step, exactly.
+within which a partner's region must lie. Regions are then joined in two steps, without recursion: a region first
+compares its members with its least member only; those within r of it form one component and need no comparison
+with each other, and all members of different components are compared in the second step, exactly.
 """
 
 from __future__ import annotations
