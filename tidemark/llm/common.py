@@ -1,4 +1,7 @@
-"""Shared helpers: reading, checkpoints, Arrow batch size, word hashes, shingles, components."""
+"""Shared helpers: reading, checkpoints, word hashes, shingles, components.
+
+Arrow batches are bounded by Spark itself, in bytes (spark.sql.execution.arrow.maxBytesPerBatch) as in rows.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the shared folder of spark.checkpoint.dir.
 

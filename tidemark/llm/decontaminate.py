@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import grams, lists, read, small_batches, word_hashes
+from .common import grams, lists, read, word_hashes
+
 
 SEED_WORDS = 4
 #: A seed is rare if at most so many test items hold it; an item without rare seeds keeps its rarest ones.
@@ -80,7 +81,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, key
     at any score. start and end count words. Items with the same words all match. Null or blank texts and items match
     nothing. Candidates of an item are the passages around its seeds, merged where they overlap; every one is aligned.
     """
-    small_batches(docs.sparkSession)
     out = None
     for find in finders(benchmark, least):
         part = docs.select(key, F.explode(find(word_hashes(F.col("text")))).alias("leak")).select(key, "leak.*")
@@ -136,7 +136,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go, row by row, so that a null or repeated doc_id makes no difference."""
-    small_batches(spark)
     for find in finders(read(spark, sf_dir, "benchmark").select("item_id", "text"), LEAST_SCORE):
         docs = docs.where(F.size(find(word_hashes(F.col("text")))) == 0)
     return docs

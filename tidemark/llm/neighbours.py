@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import components, cut, read, small_batches
+from .common import components, cut, read
+
 
 #: The trees are fitted on at most so many vectors, in order of a hash of their id; every vector is indexed.
 FIT_ROWS = 20_000
@@ -78,7 +79,6 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", le
     classes. Vectors that are null, zero or not finite, and vectors of other lengths than a partner's, link with nothing.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
     rows = cut(vectors.select(F.col(key).alias("id"), unit(column).alias("v")))
     good = rows.where("v is not null and id is not null").withColumn("cls", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256))
     classes = cut(good.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_batches
+from .common import cut, read
+
 
 ENTRY = "<qQIQII"
 MAGIC = b"TOKSEEK1"
@@ -62,7 +63,6 @@ def frames(path: str, end_id: int):
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, files: int | None = None) -> None:
     """Write ids in ascending doc_id order over files. Null text counts as empty; null ids come first; equal ids by text."""
     spark = docs.sparkSession
-    small_batches(spark)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     lines = dealt.mapInArrow(frames(tokenizer_path, end_id), "value binary")
@@ -94,7 +94,6 @@ def document(data: bytes, entry: tuple) -> np.ndarray:
 
 def read_back(spark: SparkSession, folder: str, wanted: set[int] | None = None) -> DataFrame:
     """(path, place, doc_id, n_tokens, ids_crc32, token_ids) of all, or only the wanted, documents of the files."""
-    small_batches(spark, 1)
 
     def run(batches):
         for batch in batches:
