@@ -6,7 +6,10 @@ Arrow batches are bounded by Spark itself, in bytes (spark.sql.execution.arrow.m
 from __future__ import annotations
 
 import tempfile
+import threading
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -18,26 +21,56 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = r"[\x20\x09-\x0D]+"
 
+_scopes = threading.local()
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset (tests on one machine) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside go when the block ends, but for those cut with outer=True."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for folder in stack.pop():
+            delete(spark, folder)
+
+
+def cut(df: DataFrame, outer: bool = False) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, so that a lost executor costs no more than what follows.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    The table belongs to the scratch block around, or with outer=True to the one around that; without one it stays.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     # what is cut is on disk, so the shuffle files behind it go at once rather than at some later collection of garbage
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()
+        df.write.option("compression", "zstd").parquet(folder)
     finally:
         spark.conf.set(CLEANUP, before)
+    stack = getattr(_scopes, "stack", [])
+    if len(stack) > outer:
+        stack[-1 - outer].append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -138,26 +171,21 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b): the smallest node reachable.
 
     Each round takes the least label among a node's neighbours, then follows labels twice; it ends
     when no label changes. Only a count of changes reaches the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-    labels = cut(labels)
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        low = labels.join(near, labels.node == near.a, "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")
-        )
-        up = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        labels = cut(
-            low.join(up, low.label == up.n2, "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
-        )
-        changed = labels.where("old <> label").limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    spark = edges.sparkSession
+    with scratch(spark):
+        both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+        labels, changed, old = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))), 1, None
+        while changed:
+            near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
+            low = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
+            up = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
+            labels = cut(low.join(up, low.label == up.n2, "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label")))
+            changed = labels.where("old <> label").limit(1).count()
+            labels = labels.select("node", "label")
+        return cut(labels.withColumnRenamed("label", "component"), outer=True)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-from .common import components, cut, grams, hashed_words, lists, read
+from .common import components, cut, grams, hashed_words, lists, read, scratch
 
 #: A shingle that lies in this many windows comes last in the global order.
 COMMON = 100
@@ -140,7 +140,12 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     once. Repeated rows come back as often as they came; different texts of one id are classes of their own, each
     with its component. A null id gets a null component.
     """
-    classes, named = classified(docs, width, percent, key, text)
+    with scratch(docs.sparkSession):
+        classes, named = classified(docs, width, percent, key, text)
+        return cut(components_of(classes, named, key), outer=True)
+
+
+def components_of(classes: DataFrame, named: DataFrame, key: str) -> DataFrame:
     full = classes.where("n > 0").join(named, "cls", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     empty = classes.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -172,11 +177,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Documents of an empty set are components of their own; of rows that repeat id and set one stays.
     """
-    classes, named = classified(docs.select("doc_id", "text"), width, percent, "doc_id", "text")
-    best = named.groupBy("part").agg(F.min(F.struct("rep", "cls")).alias("m")).select(F.col("m.rep").alias("id"), F.col("m.cls").alias("cls"))
-    best = best.union(classes.where("n = 0 and id is not null").select("id", "cls"))
-    several = classes.groupBy("id").agg((F.min("cls") != F.max("cls")).alias("several"))
-    best = best.groupBy("id").agg(F.collect_set("cls").alias("stay")).join(several, "id")
+    with scratch(docs.sparkSession):
+        classes, named = classified(docs.select("doc_id", "text"), width, percent, "doc_id", "text")
+        best = cut(chosen_rows(classes, named), outer=True)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(best, "id")
     # only an id of several texts needs to know which of them a row holds
     rows = rows.withColumn("own", F.when(F.col("several"), class_of(width)(F.when(F.col("several"), F.col("row.text")))))
@@ -184,6 +187,14 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
+def chosen_rows(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, stay, several): the ids that stay, with the classes of those of their texts that do, and whether an id has several."""
+    best = named.groupBy("part").agg(F.min(F.struct("rep", "cls")).alias("m")).select(F.col("m.rep").alias("id"), F.col("m.cls").alias("cls"))
+    best = best.union(classes.where("n = 0 and id is not null").select("id", "cls"))
+    several = classes.groupBy("id").agg((F.min("cls") != F.max("cls")).alias("several"))
+    return best.groupBy("id").agg(F.collect_set("cls").alias("stay")).join(several, "id")
+
+
 class Bodies:
     """Whole sets of chosen classes, made again from the texts that stand for them."""
 
@@ -216,15 +227,16 @@ def joined(sets: DataFrame, bodies: Bodies, percent: int) -> DataFrame:
     # at the first pivot that two sets share, only what stands from there on can be in both
     close = lambda a, b: F.least(a["n"] - a["pos"], b["n"] - b["pos"]) * (100 + percent) >= percent * (a["n"] + b["n"])
     twos = regions.where("c = 2").where(close(F.col("lo"), F.col("hi"))).select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"))
-    # every larger region belongs to the document pivot that is its least member; regions of one document pivot are one
-    held = windows.join(regions.where("c > 2").select("pivot", "lo"), "pivot").where(F.col("node") != F.col("lo.node")).withColumn("own", one)
+    # a larger region's document pivot is its least member; the largest, which share most members, are one where they share it
+    held = windows.join(regions.where("c > 2").select("pivot", "lo", "c"), "pivot").where(F.col("node") != F.col("lo.node")).withColumn("own", one)
     star = held.where(close(F.col("own"), F.col("lo"))).select(F.col("lo.node").alias("a"), F.col("node").alias("b"))
-    members = held.groupBy(F.col("lo.node").alias("g"), "node").agg(F.first("n").alias("n"))
+    few = held.where(F.col("c") <= SMALL).select(F.col("pivot").alias("g"), "node", "n", "pos")
+    many = held.where(F.col("c") > SMALL).groupBy(F.col("lo.node").alias("g"), "node").agg(F.first("n").alias("n"), F.lit(0).alias("pos"))
     links = cut(verified(twos.union(star).distinct(), sets, bodies, percent))
     parts = components(links).withColumnsRenamed({"component": "part"})
-    small, large = mixed(members, parts)
-    found = [pairs_within(small, percent)]
+    found = [pairs_within(mixed(few, parts), percent)]
     whole = rest = None
+    large = mixed(many, parts)
     if before := large.count():
         large = cut(merged(large))
         whole = bodies.of(large)
@@ -232,40 +244,38 @@ def joined(sets: DataFrame, bodies: Bodies, percent: int) -> DataFrame:
         # regions are split for as long as that shrinks what is still open
         cells, spans, links = divided(large, whole, percent)
         parts = cut(further(parts, links))
-        small, cells = mixed(cells, parts)
-        if 4 * (after := cells.count()) > 3 * before:
+        cells = mixed(cells, parts)
+        if 4 * (after := cells.where(F.col("c") > SMALL).count()) > 3 * before:
             rest = spans
             break
-        found.append(pairs_within(small, percent))
-        large, before = cells, after
+        found.append(pairs_within(cells.where(F.col("c") <= SMALL), percent))
+        large, before = cells.where(F.col("c") > SMALL), after
     more = verified(reduce(DataFrame.union, found).distinct(), sets, bodies, percent)
     if rest is not None:
-        small, large = mixed(rest.select("g", "node", "n"), parts)
-        more = more.union(blocks(small.union(large).join(rest.select("g", "node", "d"), ["g", "node"]), whole, percent))
+        more = more.union(blocks(mixed(rest, parts).join(rest.select("g", "node", "d"), ["g", "node"]), whole, percent))
     return further(parts, cut(more))
 
 
-def mixed(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (g, node, n, part) of regions that hold several parts: those of regions up to SMALL members, and the others."""
-    own = members.join(parts, "node", "left").select("g", "node", "n", F.coalesce("part", "node").alias("part"))
+def mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (g, node, n, pos, part, c) of the regions that hold several parts, with the region's size."""
+    own = members.join(parts, "node", "left").select("g", "node", "n", "pos", F.coalesce("part", "node").alias("part"))
     open_ = own.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("g", "c")
-    own = cut(own.join(open_, "g"))
-    return own.where(F.col("c") <= SMALL).drop("c"), own.where(F.col("c") > SMALL).drop("c")
+    return cut(own.join(open_, "g"))
 
 
 def pairs_within(small: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different parts and near sizes within regions of at most SMALL members."""
-    x, y = (small.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "part")]) for s in "xy")
+    """Pairs of different parts and near sizes within regions of at most SMALL members; what stands from a region's pivot on can be shared."""
+    x, y = (small.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "part")]) for s in "xy")
     fits = (F.col("node_x") < F.col("node_y")) & (F.col("part_x") != F.col("part_y"))
-    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    return x.join(y, "g").where(fits & sized).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    close = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
+    return x.join(y, "g").where(fits & close).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
 def merged(large: DataFrame) -> DataFrame:
     """Regions that share a member with one of a lesser name take its name: many regions of one family become one or a few."""
     least = large.groupBy("node").agg(F.min("g").alias("m"))
     name = large.join(least, "node").groupBy("g").agg(F.min("m").alias("to"))
-    return large.join(name, "g").groupBy(F.col("to").alias("g"), "node").agg(F.first("n").alias("n"))
+    return large.join(name, "g").groupBy(F.col("to").alias("g"), "node").agg(F.first("n").alias("n"), F.lit(0).alias("pos"))
 
 
 def divided(large: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -284,8 +294,8 @@ def divided(large: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFrame
     least = at.groupBy("g", "node").agg(F.min("d").alias("m"), F.min_by("d", "k").alias("d"))
     cells = at.select("g", "node", "n", "q", F.col("d").alias("e")).join(least, ["g", "node"]).where(F.col("e") <= F.col("m") + 2 * r + 1e-9)
     links = shared.where("a <> b").where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-    spans = large.select("g", "node", "n").join(least.select("g", "node", "d"), ["g", "node"])
-    return cells.select(F.xxhash64("g", "q").alias("g"), "node", "n").distinct(), cut(spans), links
+    spans = large.select("g", "node", "n", "pos").join(least.select("g", "node", "d"), ["g", "node"])
+    return cells.select(F.xxhash64("g", "q").alias("g"), "node", "n", F.lit(0).alias("pos")).distinct(), cut(spans), links
 
 
 def blocks(large: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +305,7 @@ def blocks(large: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     nor do blocks that hold but one and the same part.
     """
     ring = F.floor(F.col("d") / ((1 - percent / 100) / 2) + 1e-9).cast("int")
-    own = large.withColumn("ring", ring)
+    own = large.select("g", "node", "n", "part", "d").withColumn("ring", ring)
     sizes = own.groupBy("g", "ring").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     own = cut(own.join(sizes, ["g", "ring"]).withColumn("s", F.pmod(F.xxhash64("node", F.lit(9)), F.col("nb")).cast("int")).drop("nb", "d"))
     kinds = own.groupBy("g", "ring", "s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
