@@ -34,7 +34,7 @@ from pyspark.sql.types import IntegerType
 from .common import components, cut, grams, hashed_words, lists, read, scratch
 
 #: A shingle that lies in this many windows comes last in the global order.
-COMMON = 100
+COMMON = 30
 
 #: Up to so many common shingles (8 bytes each) are sent to every executor; beyond that they are joined.
 FEW_PIVOTS = 500_000
@@ -43,7 +43,7 @@ FEW_PIVOTS = 500_000
 FEW_IDS = 1_000_000
 
 #: Regions of up to so many members are compared pair by pair; larger ones are split by so many document pivots at a time.
-SMALL = 40
+SMALL = 50
 PIVOTS = 4
 
 #: About so many documents, and so many shingles, lie in a block of a region that pivots do not split.
@@ -286,16 +286,28 @@ def divided(large: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFrame
     within r lies in one of these.
     """
     r = 1 - percent / 100
-    pivots = large.groupBy("g", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(PIVOTS)).alias("k")).agg(F.min("node").alias("q"))
-    asked = cut(large.select("g", "node", "n").join(pivots, "g"))
-    both = asked.select(F.col("q").alias("a"), F.col("node").alias("b")).distinct()
-    shared = cut(paired(both, whole, "sh").select("a", "b", "na", "nb", overlap("sa", "sb").alias("i")))
-    at = asked.join(shared, (F.col("q") == F.col("a")) & (F.col("node") == F.col("b"))).select("g", "node", "n", "k", "q", (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
+    pivots = large.groupBy("g", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(PIVOTS)).cast("int").alias("k")).agg(F.min("node").alias("node"))
+    # members meet the pivots in bounded groups, to each of which a region's pivots are copied
+    sizes = large.groupBy("g").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    own = large.join(sizes, "g").select("g", F.pmod(F.xxhash64("node", F.lit(8)), F.col("nb")).cast("int").alias("s"), "node", F.lit(-1).alias("k"))
+    theirs = pivots.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("s"), "node", "k")
+    dealt = own.union(theirs).join(whole.select("node", "sh"), "node")
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        k, node, rows = group.k.to_numpy(), group.node.to_numpy(), list(group.sh)
+        out = []
+        for q in np.flatnonzero(k >= 0):
+            for x in np.flatnonzero(k < 0):
+                i = len(np.intersect1d(rows[x], rows[q], assume_unique=True))
+                out.append((group.g.iat[0], node[x], k[q], node[q], i, len(rows[x]) + len(rows[q]) - i))
+        return pd.DataFrame(out, columns=["g", "node", "k", "q", "i", "u"])
+
+    at = cut(dealt.groupBy("g", "s").applyInPandas(measure, "g long, node long, k int, q long, i long, u long").withColumn("d", 1 - F.col("i") / F.col("u")))
     least = at.groupBy("g", "node").agg(F.min("d").alias("m"), F.min_by("d", "k").alias("d"))
-    cells = at.select("g", "node", "n", "q", F.col("d").alias("e")).join(least, ["g", "node"]).where(F.col("e") <= F.col("m") + 2 * r + 1e-9)
-    links = shared.where("a <> b").where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-    spans = large.select("g", "node", "n", "pos").join(least.select("g", "node", "d"), ["g", "node"])
-    return cells.select(F.xxhash64("g", "q").alias("g"), "node", "n", F.lit(0).alias("pos")).distinct(), cut(spans), links
+    members = large.select("g", "node", "n", "pos").join(least, ["g", "node"])
+    cells = members.drop("d").join(at.select("g", "node", "q", F.col("d").alias("e")), ["g", "node"]).where(F.col("e") <= F.col("m") + 2 * r + 1e-9)
+    links = at.where("q <> node").where(F.col("i") * 100 >= percent * F.col("u")).select(F.col("q").alias("a"), F.col("node").alias("b")).distinct()
+    return cells.select(F.xxhash64("g", "q").alias("g"), "node", "n", F.lit(0).alias("pos")).distinct(), cut(members.drop("m")), links
 
 
 def blocks(large: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
