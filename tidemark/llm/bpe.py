@@ -1,4 +1,9 @@
-"""Operator 4: byte-level BPE encoding and decoding with the tokenizers library."""
+"""Operator 4: byte-level BPE encoding and decoding with the tokenizers library, over Arrow batches.
+
+The patterns of SPACED have a property that makes a text cheap to encode: no piece reaches over a space
+or a line end that stands before something else than white space: one starts there. A text is cut at such places, each
+distinct chunk is encoded once by the library, ids and offsets are kept packed, and texts are joined from them.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,22 @@ import base64
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .common import read
 
+#: Patterns with that property, which is theirs because white space stands at the start of a piece or fills it.
+SPACED = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
+
+#: Once a worker remembers so many distinct chunks, those it does not meet again among as many go; longer ones than so many signs are not remembered.
+CHUNKS = 300_000
+LONG = 64
 
 
 @lru_cache(1)
@@ -32,6 +46,9 @@ def ranks(path: str) -> dict[bytes, int]:
 @lru_cache(4)
 def encoder(path: str, pattern: str):
     """A tokenizers BPE model of a rank file: each split of a token into two tokens is a merge, in rank order."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     table, known = byte_table(), ranks(path)
@@ -49,78 +66,148 @@ def encoder(path: str, pattern: str):
     return made
 
 
+class Packed:
+    """Ids, and code-point offsets [start, end), of texts, packed as unsigned 32-bit little-endian integers.
+
+    spaced: the model's pattern has the property of SPACED. whole: strings that are looked for in whole texts before
+    the pattern is applied (added tokens); a text that holds one is encoded in one piece.
+    """
+
+    def __init__(self, model, spaced: bool, whole: tuple[str, ...] = (), offsets: bool = True):
+        self.model, self.spaced, self.whole, self.offsets = model, spaced, whole, offsets
+        # chunk to packed ids and spans: those of late, and those before
+        self.ids, self.old = ({}, {}), ({}, {})
+
+    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        batch = self.model.encode_batch if self.offsets else self.model.encode_batch_fast
+        made = batch(texts, add_special_tokens=False)
+        return [(np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.offsets, "<u4").tobytes() if self.offsets else b"") for e in made]
+
+    def chunks(self, text: str) -> list[str]:
+        """The text cut before each space and line end that something else than white space follows."""
+        out, mark = [""], ""
+        for x in text.split(" "):
+            for y in x.split("\n") if "\n" in x else (x,):
+                if y and not y[0].isspace():
+                    out.append(mark + y)
+                else:
+                    out[-1] += mark + y
+                mark = "\n"
+            mark = " "
+        return out if out[0] else out[1:]
+
+    def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        cut = [self.chunks(t) if self.spaced and not any(w in t for w in self.whole) else [t] for t in texts]
+        if len(self.ids[0]) > CHUNKS:
+            self.ids, self.old = ({}, {}), self.ids
+        (ids, spans), new = self.ids, []
+        for c in set().union(*cut).difference(ids):
+            if c in self.old[0]:
+                ids[c], spans[c] = self.old[0][c], self.old[1][c]
+            else:
+                new.append(c)
+        odd = [c for c in new if len(c) > LONG]
+        for k in range(0, len(new), 1000):
+            part = new[k : k + 1000]
+            for c, (i, s) in zip(part, self.encoded(part)):
+                ids[c], spans[c] = i, s
+        out = []
+        for x in cut:
+            own, places = list(map(ids.__getitem__, x)), b""
+            if self.offsets and x:
+                places = np.frombuffer(b"".join(map(spans.__getitem__, x)), "<u4").reshape(-1, 2)
+                at = np.cumsum([0, *map(len, x[:-1])])
+                places = (places + np.repeat(at, np.fromiter(map(len, own), np.int64, len(own)) // 4)[:, None]).astype("<u4").tobytes()
+            out.append((b"".join(own), places))
+        for c in odd:
+            del ids[c], spans[c]
+        return out
+
+
+@lru_cache(4)
+def packer(path: str, pattern: str) -> Packed:
+    return Packed(encoder(path, pattern), pattern in SPACED)
+
+
 @lru_cache(4)
-def pieces(path: str) -> list[bytes]:
-    known = ranks(path)
+def pieces(path: str, pattern: str) -> list[bytes]:
+    """The bytes of each id, by reversing the byte table over the model's tokens."""
+    back = {c: b for b, c in byte_table().items()}
+    known = encoder(path, pattern).get_vocab()
     out = [b""] * (max(known.values()) + 1)
     for token, rank in known.items():
-        out[rank] = token
+        out[rank] = bytes(back[c] for c in token)
     return out
 
 
-def encode_udf(path: str, pattern: str):
-    @pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = encoder(path, pattern)
-        # the fast call keeps no offsets
-        ids = lambda t: model.encode_batch_fast([t], add_special_tokens=False)[0].ids
-        return pd.Series([np.asarray(ids(t or ""), "<u4").tobytes() for t in texts])
+#: Texts are taken up in runs of about so many signs, which bounds the chunks held at once; a longer text stands alone.
+RUN = 1 << 20
 
-    return encode
 
+def runs(texts: list[str]):
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= RUN:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
-def offsets_udf(path: str, pattern: str):
-    """Ids with code-point offsets [start, end); tokens that share a split character share its offsets."""
 
-    @pandas_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        rows = [encoder(path, pattern).encode(t or "") for t in texts]
-        return pd.DataFrame(
-            {"ids": [r.ids for r in rows], "starts": [[a for a, _ in r.offsets] for r in rows], "ends": [[b for _, b in r.offsets] for r in rows]}
-        )
+def encode_udf(path: str, pattern: str):
+    @arrow_udf("struct<ids:binary,spans:binary>")
+    def encode(column: pa.Array) -> pa.Array:
+        make = packer(path, pattern)
+        rows = [r for part in runs([t or "" for t in column.to_pylist()]) for r in make(part)]
+        return pa.StructArray.from_arrays([pa.array([i for i, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], names=["ids", "spans"])
 
     return encode
 
 
-def decode_udf(path: str):
+def decode_udf(path: str, pattern: str):
     """Bytes of packed ids. A character split over tokens comes out whole, since bytes are joined before any text is read."""
 
-    @pandas_udf("binary")
-    def decode(packed: pd.Series) -> pd.Series:
-        table = pieces(path)
-        return pd.Series([b"".join([table[i] for i in np.frombuffer(p, "<u4")]) for p in packed])
+    @arrow_udf("binary")
+    def decode(packed: pa.Array) -> pa.Array:
+        table = pieces(path, pattern)
+        return pa.array([None if p is None else b"".join(map(table.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed.to_pylist()], pa.binary())
 
     return decode
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds token_ids (binary, unsigned 32-bit little-endian) and n_tokens. Null text counts as empty: no ids."""
-    out = docs.withColumn("token_ids", encode_udf(path, pattern)(docs[text]))
-    return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+    """Adds token_ids and token_spans (binary) and n_tokens.
 
+    token_ids holds unsigned 32-bit little-endian ids, token_spans for each of them the code points [start, end) it
+    comes from, packed alike; tokens that share a character share its span. Null text counts as empty: no ids.
+    Columns of these names are replaced.
+    """
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), encode_udf(path, pattern)(docs[text]).alias("made"))
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("token_ids", "token_spans", "n_tokens")]
+    return made.select(*own, F.col("made.ids").alias("token_ids"), F.col("made.spans").alias("token_spans"), (F.octet_length("made.ids") / 4).cast("long").alias("n_tokens"))
 
-def decode(coded: DataFrame, path: str) -> DataFrame:
-    """Adds decoded (binary) from token_ids."""
-    return coded.withColumn("decoded", decode_udf(path)("token_ids"))
 
+def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Adds decoded (binary) from token_ids; null ids give null."""
+    return coded.withColumn("decoded", decode_udf(path, pattern)("token_ids"))
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def coded(docs: DataFrame) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs, path, P.PATTERN), path).select(
-        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return decode(encode(docs.select("doc_id", "text"), path, P.PATTERN), path, P.PATTERN)
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers as P
+DIGESTS = ("token_ids", "ids_sha256"), ("decoded", "decoded_sha256"), ("token_spans", "spans_sha256")
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    return decode(encode(docs.select("doc_id", "text"), path, P.PATTERN), path).select(
-        "doc_id", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens", *[F.sha2(c, 256).alias(to) for c, to in DIGESTS])
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids, spans and digests; null text counts as empty, repeated rows and null ids come back as they came."""
+    return coded(docs).select("doc_id", "n_tokens", "token_ids", "token_spans", *[F.sha2(c, 256).alias(to) for c, to in DIGESTS])
