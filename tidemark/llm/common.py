@@ -61,12 +61,16 @@ def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     """
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     # what is cut is on disk, so the shuffle files behind it go at once rather than at some later collection of garbage
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    # and Arrow batches are small, since some hold whole sets or texts
+    own = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(folder)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     stack = getattr(_scopes, "stack", [])
     if len(stack) > outer:
         stack[-1 - outer].append(folder)
