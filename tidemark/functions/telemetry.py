@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = {"purchase": "DOUBLE", "click": "LONG", "view": "BOOL", "error": "STRING", "signup": "JSON"}
+#: The value columns of a point, and the kind that each stands for; exactly one is not null.
+VALUE_COLUMNS = {"bool_v": "BOOL", "long_v": "LONG", "dbl_v": "DOUBLE", "str_v": "STRING", "json_v": "JSON"}
+
+
+def kind() -> Column:
+    """The kind of a point's value, null where it has none."""
+    return F.coalesce(*[F.when(F.col(c).isNotNull(), k) for c, k in VALUE_COLUMNS.items()])
+
+
+def stringified() -> Column:
+    return F.coalesce(*[F.col(c).cast("string") for c in VALUE_COLUMNS])
+
+
+def month_start(ts: Column) -> Column:
+    """The first instant of the month in milliseconds since 1970, UTC."""
+    return F.unix_millis(F.date_trunc("month", ts).cast("timestamp"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Operators over whole tables of points."""
