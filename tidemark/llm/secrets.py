@@ -59,60 +59,74 @@ def trigram_query(regex: str) -> list[set[str]]:
     return [] if any(not a for a in out) else out
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
+#: Matches of a text are numbered in chunks of so many, which keeps the cost of a text full of matches linear.
+CHUNK = 64
+
+
+def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Array of (start, rank, kind, end), code points, of the matches that count."""
     found, gaps = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
     value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    rank = next(i for i, r in enumerate(RULES) if r.name == rule.name) if rule in RULES else len(RULES)
-    lengths = F.arrays_zip(
-        F.transform(gaps, lambda g: F.char_length(g)).alias("gap"), F.transform(found, lambda m: F.char_length(m)).alias("hit"), F.transform(value, lambda m: F.char_length(m)).alias("value")
+    size = lambda c: F.transform(c, lambda x: F.char_length(x))
+    lengths = F.arrays_zip(size(gaps).alias("gap"), size(found).alias("hit"), size(value).alias("value"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found)) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)))
+    whole = lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))
+    # the place where each chunk begins, then the places within it
+    starts = F.aggregate(
+        F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda t, x: t + whole(x))),
+        F.array(F.lit(0)),
+        lambda t, n: F.concat(t, F.array(F.element_at(t, -1) + n)),
     )
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
-        F.when(
-            F.coalesce(x["value"], F.lit(0)) >= rule.least,
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.name).alias("kind"), (acc["at"] + x["gap"] + x["hit"]).alias("end"))),
-            ),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.name).alias("kind"), (at + whole(x)).alias("end"))
+    step = lambda t, x: F.struct(
+        (t["at"] + whole(x)).alias("at"),
+        F.when(F.coalesce(x["value"], F.lit(0)) >= rule.least, F.concat(t["out"], F.array(span(t["at"], x)))).otherwise(t["out"]).alias("out"),
     )
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    parts = F.zip_with(chunks, starts, lambda c, at: F.when(c.isNotNull(), F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step, lambda t: t["out"])))
+    return F.flatten(F.array_compact(parts))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Adds secrets: array<struct<start, rank, kind, end>> by start, then rule. Null text: no spans.
+def postings(texts: DataFrame, wanted: set[str]) -> DataFrame:
+    """(trigram, digest): the inverted index of texts (digest, body) over the trigrams that rules ask for.
 
-    postings holds one bit for each trigram that some rule asks for; a rule's Boolean query is evaluated on it,
-    and only candidates are verified by the regex. A rule without mandatory trigrams reads every text.
+    Texts are indexed by their digest, so that copies of a text share its postings.
     """
-    wanted = {r.name: trigram_query(r.regex) for r in rules}
-    index = {t: k for k, t in enumerate(sorted({t for q in wanted.values() for a in q for t in a}))}
+    low = F.lower("body")
+    held = F.filter(F.array(*[F.lit(t) for t in sorted(wanted)]), lambda t: F.contains(low, t))
+    return texts.select("digest", F.explode(held).alias("trigram")).distinct()
+
+
+#: Rows of one text are joined with its candidates in so many parts, by their key.
+PARTS = 16
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Adds secrets: array<struct<start, rank, kind, end>> by start, then rule; a column of that name is replaced.
+
+    Null text: no spans. A rule's Boolean query (alternatives of trigrams) is evaluated by intersecting postings: a
+    text is a candidate if, for one alternative, it stands in the postings of each of its trigrams. Only candidates
+    are verified by the regex. A rule without mandatory trigrams reads every text.
+    """
+    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(body)
-    bits = F.lit(0).cast("long")
-    for t, k in index.items():
-        bits = bits.bitwiseOR(F.when(low.contains(t), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    if len(index) > 62:
-        raise ValueError("the rules ask for more than 62 trigrams")
-    out = docs.withColumn("_postings", bits)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("body"), F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")).withColumn("digest", F.md5(F.col("body").cast("binary")))
+    asked = [(k, n, t, len(a)) for k, r in enumerate(rules) for n, a in enumerate(trigram_query(r.regex)) for t in sorted(a)]
+    rows = rows.withColumn("hits", F.lit(None).cast("array<int>"))
+    if asked:
+        # as small as the rules
+        query = F.broadcast(spark.createDataFrame(asked, "rule int, alternative int, trigram string, need int"))
+        index = postings(rows.select("digest", "body"), {t for _, _, t, _ in asked})
+        whole = index.join(query, "trigram").groupBy("digest", "rule", "alternative", "need").agg(F.count(F.lit(1)).alias("held")).where("held = need")
+        candidates = whole.groupBy("digest").agg(F.collect_set("rule").alias("hits"))
+        spread = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = rows.drop("hits").join(spread, ["digest", "part"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     parts = []
-    for r in rules:
-        masks = [sum(1 << index[t] for t in a) for a in wanted[r.name]]
-        spans = spans_of(body, r)
-        if masks:
-            hit = F.lit(False)
-            for m in masks:
-                hit = hit | (F.col("_postings").bitwiseAND(F.lit(m).cast("long")) == m)
-            spans = F.when(hit, spans).otherwise(none)
-        else:
-            spans = F.when(body.rlike(r.regex), spans).otherwise(none)
-        parts.append(spans)
-    return out.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("_postings")
+    for k, r in enumerate(rules):
+        asks = F.array_contains(F.coalesce("hits", F.array().cast("array<int>")), F.lit(k)) if any(a[0] == k for a in asked) else F.col("body").rlike(r.regex)
+        parts.append(F.when(asks, spans_of(F.col("body"), r, k)).otherwise(none))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "secrets"], F.array_sort(F.concat(*parts)).alias("secrets"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -126,19 +140,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks each secret in the text; every document stays."""
-    found = scan(docs)
-    body = F.col("text")
-    masked = F.aggregate(
-        "secrets",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))),
-    )
-    out = found.withColumn("text", F.when(F.size("secrets") > 0, masked).otherwise(body))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Masks each secret in the text; every document stays, and every column, one named secrets too."""
+    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"), F.col("doc_id")))
+    body, marks = F.coalesce("text", F.lit("")), F.col("secrets")
+    # what stands before each span, and after the last; spans that overlap are one
+    ends = F.transform(marks, lambda m: m["end"])
+    kept = F.transform(marks, lambda m, k: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(k > 0, F.array_max(F.slice(ends, 1, k))).otherwise(0).alias("at")))
+    pieces = F.transform(kept, lambda m: F.when(m["start"] >= m["at"], F.concat(F.substring(body, m["at"] + 1, m["start"] - m["at"]), F.lit("[SECRET]"))).otherwise(""))
+    masked = F.concat(F.array_join(pieces, ""), F.substring(body, F.array_max(ends) + 1, F.char_length(body)))
+    out = F.when(F.size(marks) > 0, masked).otherwise(F.col("text"))
+    made = found.select("doc", out.alias("masked"), (F.size(marks) > 0).alias("changed"))
+    column = lambda c: F.col("masked") if c == "text" else F.when(F.col("changed"), F.char_length("masked").cast("long")).otherwise(F.col("doc.n_chars")) if c == "n_chars" else F.col(f"doc.`{c}`")
+    return made.select(*[column(c).alias(c) for c in docs.columns])
