@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -24,7 +25,10 @@ SIGNS = {
     "bad": set("ad ads advert advertisement banner sponsor sponsored promo nav navbar menu breadcrumb breadcrumbs header masthead footer sidebar aside related share social cookie cookies notice popup modal subscribe newsletter comment comments reply replies widget toolbar pagination pager login search form consent legal copyright tags disclaimer alert overlay".split()),
     "good": set("article content main story entry post body text page articlebody".split()),
 }
-TAGS = "article aside body div footer form header h1 h2 h3 li main nav ol p section span table ul".split()
+TAGS = "article aside body button div footer form header h1 h2 h3 li main nav ol p section span table ul".split()
+CONTROLS = {"button", "label", "input", "output"}
+OUTER = {"nav", "footer", "aside", "form"}
+ABOVE = frozenset(SIGNS["bad"] | OUTER | {"article", "main"})
 SPACES = re.compile(r"\s+")
 
 
@@ -43,11 +47,17 @@ class Dom(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root")
+        self.open: Counter = Counter()
 
     def close(self):
         super().close()
         return self.root
 
+    def parse_marked_section(self, i, report=1):
+        """<![...> of any kind ends at the next >, as browsers have it; without one the rest is passed over."""
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.end_to("p", stop={"table", "td", "th", "button"})
@@ -57,17 +67,22 @@ class Dom(HTMLParser):
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def end_to(self, tag, stop=frozenset()):
-        n = self.at
+        if not self.open[tag]:
+            return
+        n, closed = self.at, []
         while n.parent and n.tag != tag:
             if n.tag in stop:
                 return
+            closed.append(n.tag)
             n = n.parent
         if n.parent:
+            self.open.subtract([*closed, tag])
             self.at = n.parent
 
     def handle_endtag(self, tag):
@@ -108,21 +123,28 @@ def described(root: Node) -> tuple[list[Node], np.ndarray]:
         sums[id(n)] = t
     whole = max(1.0, sums[id(root)][0])
     nodes, rows = [], []
+    # signs of the nodes above, and how many children of each tag a node has: carried down, each looked at once
+    above, kinds = {id(root): frozenset()}, {}
     for n in order:
-        if n.tag not in BLOCK or n.tag in ("html",):
+        kinds[id(n)] = Counter(k.tag for k in n.kids if isinstance(k, Node))
+        signs = attribute_tokens(n)
+        own = (signs | {n.tag}) & ABOVE
+        over = above[id(n.parent)] if n.parent else frozenset()
+        above[id(n)] = over if own <= over else over | own
+        if not scored(n, signs):
             continue
         t, up = sums[id(n)], sums[id(n.parent)] if n.parent else sums[id(n)]
-        signs = attribute_tokens(n)
-        above, p = set(), n.parent
-        while p is not None:
-            above |= attribute_tokens(p) | {p.tag}
-            p = p.parent
-        same = sum(isinstance(k, Node) and k.tag == n.tag for k in n.parent.kids) if n.parent else 1
+        same = kinds[id(n.parent)][n.tag] if n.parent else 1
         nodes.append(n)
         rows.append(
-            [np.log1p(t[0]), t[0] / whole, t[0] / max(1, up[0]), t[3] / max(1, t[0]), t[2] / max(1, t[1] + 1), t[0] / t[6], t[5] / t[6], t[4] / t[6], t[7], n.depth, np.log1p(same), len(signs & SIGNS["bad"]), len(signs & SIGNS["good"]), len(above & (SIGNS["bad"] | {"nav", "footer", "aside", "form"})), len(above & {"article", "main"}), *[n.tag == x for x in TAGS]]
+            [np.log1p(t[0]), t[0] / whole, t[0] / max(1, up[0]), t[3] / max(1, t[0]), t[2] / max(1, t[1] + 1), t[0] / t[6], t[5] / t[6], t[4] / t[6], t[7], n.depth, np.log1p(same), len(signs & SIGNS["bad"]), len(signs & SIGNS["good"]), len(over & (SIGNS["bad"] | OUTER)), len(over & {"article", "main"}), n.tag not in BLOCK, *[n.tag == x for x in TAGS]]
         )
-    return nodes, np.array(rows, float).reshape(len(rows), 15 + len(TAGS))
+    return nodes, np.array(rows, float).reshape(len(rows), 16 + len(TAGS))
+
+
+def scored(n: Node, signs: set[str]) -> bool:
+    """Every block, and within lines what is a control or carries a sign of being none of the text."""
+    return n.tag in BLOCK and n.tag != "html" or n.tag in CONTROLS or bool(signs & SIGNS["bad"])
 
 
 class Boosted:
@@ -182,7 +204,7 @@ class Boosted:
 
 def lesson(rng: random.Random) -> str:
     """A labelled page, made by rule: main blocks carry data-main=1, all others 0."""
-    word = lambda: "".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(2, 10)))
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(1, 10)))
     say = lambda n: " ".join(word() + rng.choice(["", "", "", ",", "."]) for _ in range(n))
     b = lambda tag, inner, main, attr="": f'<{tag} data-main="{main}"{attr}>{inner}</{tag}>'
     items = lambda n, main: "".join(b("li", f'<a href="/x">{word()}</a>' if not main else say(rng.randint(3, 20)), main) for _ in range(n))
@@ -192,29 +214,44 @@ def lesson(rng: random.Random) -> str:
         lambda: b("div", b("ul", items(rng.randint(2, 9), 0), 0), 0, sign()),
         lambda: b("div", say(rng.randint(3, 40)), 0, sign()),
         lambda: b("aside", b("h3", say(2), 0) + b("p", say(rng.randint(2, 40)), 0), 0),
-        lambda: b("header", b("h1", say(3), 0) if rng.random() < 0.3 else say(3), 0),
+        lambda: b("header", b("h1", say(rng.randint(1, 5)), 0) if rng.random() < 0.2 else say(3), 0),
         lambda: b("form", say(4) + "<input><button>go</button>", 0),
         lambda: b("section", "".join(b("div", b("p", say(rng.randint(3, 40)), 0), 0, ' class="comment"') for _ in range(rng.randint(1, 4))), 0, ' class="comments"'),
-        lambda: b("footer", "&copy; " + say(rng.randint(2, 15)), 0),
+        lambda: b("span", say(rng.randint(1, 12)), 0, sign()),
+        lambda: b("button", say(rng.randint(1, 3)), 0) + (b("label", say(2), 0) if rng.random() < 0.5 else ""),
+        lambda: b("footer", "&copy; " + say(rng.randint(2, 40)), 0),
     ]
     parts = []
-    for _ in range(rng.randint(0, 30)):
+    tiny = rng.random() < 0.3
+    if tiny:
+        # a few words in all
+        parts = [b("p", say(rng.randint(1, 5)), 1) for _ in range(rng.randint(0, 3))]
+    for _ in range(0 if tiny else rng.randint(0, rng.choice([2, 30, 30]))):
         parts.append(rng.choice([lambda: b("p", say(rng.choice([1, 1, 3, 20, 60, 150])), 1)] * 5 + [lambda: b("h2", say(rng.randint(1, 6)), 1), lambda: b("ul", items(3, 1), 1), lambda: b("blockquote", b("p", say(20), 1), 1), lambda: b("table", b("tr", b("td", say(3), 1), 1), 1), lambda: b("div", b("p", say(30), 1), 1), lambda: rng.choice(extra[1:3])()])())
     tag, attr = rng.choice([("article", "")] * 3 + [("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="post entry"'), ("section", ' class="article-body"')])
-    body = b(tag, b("h1", say(rng.randint(1, 12)), 1) + "".join(parts), 1, attr)
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        # controls and adverts within lines of the text, or between its blocks
+        odd = rng.choice([b("span", say(rng.randint(1, 8)), 0, sign()), b("button", say(rng.randint(1, 3)), 0), b("label", say(2), 0), b("a", say(2), 0, sign())])
+        parts.insert(rng.randint(0, len(parts)), rng.choice([odd, b("p", say(rng.choice([5, 30])) + " " + odd + " " + say(9), 1)]))
+    body = b(tag, b("h1", say(rng.choice([1, 2, 4, 8, 12])), 1) + "".join(parts), 1, attr)
     before, after = [rng.choice(extra[:6])() for _ in range(rng.randint(0, 3))], [rng.choice(extra)() for _ in range(rng.randint(0, 3))]
-    return f'<html><head><title>{say(3)}</title></head><body data-main="1">{"".join(before)}{body}{"".join(after)}</body></html>'
+    inner = "".join(before) + body + "".join(after)
+    # pages differ in what stands around the whole
+    for _ in range(rng.choice([0, 0, 0, 1, 2])):
+        inner = b("div", inner, 1)
+    whole = f'<body data-main="1">{inner}</body>'
+    return whole if rng.random() < 0.3 else f"<html><head><title>{say(3)}</title></head>{whole}</html>"
 
 
 @lru_cache(1)
-def model(pages: int = 150, seed: int = 8) -> Boosted:
+def model(pages: int = 250, seed: int = 8) -> Boosted:
     """Fitted on pages made by rule, since the tables hold no labels; the same on every worker."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
         nodes, x = described(parse(lesson(rng)))
         xs.append(x)
         ys += [n.attrs.get("data-main") == "1" for n in nodes]
-    return Boosted(rounds=12, depth=5, rate=0.5, bins=8).fit(np.vstack(xs), np.array(ys, float))
+    return Boosted(rounds=20, depth=5, rate=0.5, bins=8).fit(np.vstack(xs), np.array(ys, float))
 
 
 def main_text(html: str | None, trees: Boosted | None = None) -> str:
