@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, penalty: float = 1.0, l2: float = 1e-4, steps: int
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.3) -> DataFrame:
-    """Adds score (0 to 1) and predicted. A text without any word of the model scores as the bias, at most as that of NOTHING."""
+    """Adds score (0 to 1) and predicted; columns of these names are replaced. A text without any word of the model scores as the bias, at most as that of NOTHING."""
     keys, weights, bias = model
 
     from pyspark.sql.functions import arrow_udf
@@ -183,4 +183,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return score(docs, model_of(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+    """Documents that are predicted toxic go; null and empty texts stay, as do columns named as the score's."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return score(rows, model_of(spark, sf_dir)).where("predicted = 0").select("doc.*")
