@@ -12,9 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructType
 
 from .common import read
 
@@ -25,7 +26,7 @@ SPACED = (
 )
 
 #: Once a worker remembers so many distinct chunks, those it does not meet again among as many go; longer ones than so many signs are not remembered.
-CHUNKS = 300_000
+CHUNKS = 150_000
 LONG = 64
 
 
@@ -140,41 +141,32 @@ def pieces(path: str, pattern: str) -> list[bytes]:
     return out
 
 
-#: Texts are taken up in runs of about so many signs, which bounds the chunks held at once; a longer text stands alone.
+#: Rows are taken up in runs of about so many bytes, which bounds what a worker holds at once; a longer text stands alone.
 RUN = 1 << 20
 
 
-def runs(texts: list[str]):
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= RUN:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def runs(batch: pa.RecordBatch, at: int):
+    """Slices of a batch of about RUN bytes in the column of that place."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    k = 0
+    while k < len(ends):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + RUN, "right")))
+        yield batch.slice(k, stop - k)
+        k = stop
 
 
-def encode_udf(path: str, pattern: str):
-    @arrow_udf("struct<ids:binary,spans:binary>")
-    def encode(column: pa.Array) -> pa.Array:
-        make = packer(path, pattern)
-        rows = [r for part in runs([t or "" for t in column.to_pylist()]) for r in make(part)]
-        return pa.StructArray.from_arrays([pa.array([i for i, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], names=["ids", "spans"])
+def mapped(df: DataFrame, column: str, added: str, make) -> DataFrame:
+    """The frame with the added columns (DDL; columns of these names are replaced); make(values) gives their arrays, run by run."""
+    fields = StructType.fromDDL(added)
+    keep = [c for c in df.columns if c not in fields.names]
+    at, places = df.columns.index(column), [df.columns.index(c) for c in keep]
 
-    return encode
+    def run(batches):
+        for batch in batches:
+            for part in runs(batch, at):
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in places] + make(part.column(at).to_pylist()), keep + fields.names)
 
-
-def decode_udf(path: str, pattern: str):
-    """Bytes of packed ids. A character split over tokens comes out whole, since bytes are joined before any text is read."""
-
-    @arrow_udf("binary")
-    def decode(packed: pa.Array) -> pa.Array:
-        table = pieces(path, pattern)
-        return pa.array([None if p is None else b"".join(map(table.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed.to_pylist()], pa.binary())
-
-    return decode
+    return df.mapInArrow(run, StructType([df.schema[c] for c in keep] + fields.fields))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -184,14 +176,25 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     comes from, packed alike; tokens that share a character share its span. Null text counts as empty: no ids.
     Columns of these names are replaced.
     """
-    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), encode_udf(path, pattern)(docs[text]).alias("made"))
-    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("token_ids", "token_spans", "n_tokens")]
-    return made.select(*own, F.col("made.ids").alias("token_ids"), F.col("made.spans").alias("token_spans"), (F.octet_length("made.ids") / 4).cast("long").alias("n_tokens"))
+
+    def make(texts: list) -> list[pa.Array]:
+        rows = packer(path, pattern)([t or "" for t in texts])
+        return [pa.array([i for i, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary()), pa.array([len(i) // 4 for i, _ in rows], pa.int64())]
+
+    return mapped(docs, text, "token_ids binary, token_spans binary, n_tokens long", make)
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds decoded (binary) from token_ids; null ids give null."""
-    return coded.withColumn("decoded", decode_udf(path, pattern)("token_ids"))
+    """Adds decoded (binary) from token_ids; null ids give null.
+
+    A character split over tokens comes out whole, since bytes are joined before any text is read.
+    """
+
+    def make(packed: list) -> list[pa.Array]:
+        table = pieces(path, pattern)
+        return [pa.array([None if p is None else b"".join(map(table.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], pa.binary())]
+
+    return mapped(coded, "token_ids", "decoded binary", make)
 
 
 def coded(docs: DataFrame) -> DataFrame:

@@ -50,10 +50,9 @@ def frames(path: str, end_id: int):
         made, at, table, end = zstandard.ZstdCompressor(level=1, write_content_size=True), 0, [], struct.pack("<I", end_id)
         make = packer(path)
         for batch in batches:
-            keys = iter(batch.column(0).to_pylist())
-            for part in runs([t or "" for t in batch.column(1).to_pylist()]):
+            for part in runs(batch, 1):
                 pending = []
-                for (ids, _), key in zip(make(part), keys):
+                for (ids, _), key in zip(make([t or "" for t in part.column(1).to_pylist()]), part.column(0).to_pylist()):
                     raw = ids + end
                     packed = made.compress(raw)
                     table.append(struct.pack(ENTRY, key if key is not None else 0, at, len(packed), len(raw) // 4, zlib.crc32(raw), key is None))
