@@ -8,7 +8,9 @@ distinct chunk is encoded once by the library, ids and offsets are kept packed,
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +84,21 @@ class Packed:
     def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         batch = self.model.encode_batch if self.offsets else self.model.encode_batch_fast
         made = batch(texts, add_special_tokens=False)
-        return [(np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.offsets, "<u4").tobytes() if self.offsets else b"") for e in made]
+        packed = lambda x: array("I", x).tobytes()
+        return [(packed(e.ids), packed(chain.from_iterable(e.offsets)) if self.offsets else b"") for e in made]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks that begin at a place where any text may be cut: as one text, taken apart by offsets."""
+        made = self.model.encode("".join(chunks), add_special_tokens=False)
+        ids = np.array(made.ids, "<u4")
+        places = np.fromiter(chain.from_iterable(made.offsets), "<u4", 2 * len(ids)).reshape(-1, 2)
+        at = np.cumsum([0, *map(len, chunks)])
+        ends = np.searchsorted(places[:, 0], at)
+        packed = ids.tobytes()
+        places = (places - np.repeat(at[:-1], np.diff(ends))[:, None]).astype("<u4").tobytes() if self.offsets else b""
+        for c, a, b in zip(chunks, ends[:-1].tolist(), ends[1:].tolist()):
+            self.ids[0][c] = packed[4 * a : 4 * b]
+            self.ids[1][c] = places[8 * a : 8 * b]
 
     def chunks(self, text: str) -> list[str]:
         """The text cut before each space and line end that something else than white space follows."""
@@ -108,10 +124,14 @@ class Packed:
             else:
                 new.append(c)
         odd = [c for c in new if len(c) > LONG]
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            for c, (i, s) in zip(part, self.encoded(part)):
+        # without offsets there is nothing to take a joined text apart by
+        alone = [c for c in new if not self.offsets or c[:1] not in (" ", "\n") or c[1:2].isspace()]
+        for k in range(0, len(alone), 1000):
+            for c, (i, s) in zip(alone[k : k + 1000], self.encoded(alone[k : k + 1000])):
                 ids[c], spans[c] = i, s
+        others = list(set(new).difference(alone))
+        for k in range(0, len(others), 2000):
+            self.learn(others[k : k + 2000])
         out = []
         for x in cut:
             own, places = list(map(ids.__getitem__, x)), b""
