@@ -72,7 +72,7 @@ def test_bpe_round_trip(spark, docs, none):
     odd = spark.createDataFrame([(k, "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))) for k in range(3000)], "doc_id long, text string")
     model = bpe.encoder(path, P.PATTERN)
     for df in (docs, odd):
-        for r in bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN).collect():
+        for r in bpe.decode(bpe.encode(df, path, P.PATTERN), path).collect():
             assert np.frombuffer(r.token_ids, "<u4").tolist() == own.encode_ordinary(r.text or "")
             assert [tuple(x) for x in np.frombuffer(r.token_spans, "<u4").reshape(-1, 2).tolist()] == model.encode(r.text or "").offsets
             assert bytes(r.decoded) == (r.text or "").encode() and r.n_tokens == len(r.token_ids) // 4
@@ -80,7 +80,7 @@ def test_bpe_round_trip(spark, docs, none):
     # a character split over tokens
     one = next(t for t in ("𝄞", "é", "漢") if len(own.encode_ordinary(t)) > 1)
     ids = own.encode_ordinary(one)
-    assert b"".join(bpe.pieces(path, P.PATTERN)[i] for i in ids) == one.encode()
+    assert b"".join(bpe.pieces(path)[i] for i in ids) == one.encode()
 
 
 def test_bpe_chunks_forgotten(monkeypatch):
@@ -372,6 +372,6 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(data)).collect()}
     assert not [d for d in got if d is not None and 100 <= d < 200]
     assert {d for d in got if d is not None} == {d for d in texts if d < 40} | {203, 204, 205} and None in got
-    table = bpe.pieces(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    table = bpe.pieces(P.path("byte_bpe_50k.tiktoken"))
     text = lambda r: b"".join(table[i] for i in np.frombuffer(r.token_ids, "<u4")).decode()
     assert text(got[203]).startswith("[SECRET] and ") and text(got[3]) == texts[3] and text(got[204]) == ""

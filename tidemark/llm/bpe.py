@@ -151,13 +151,14 @@ def packer(path: str, pattern: str) -> Packed:
 
 
 @lru_cache(4)
-def pieces(path: str, pattern: str) -> list[bytes]:
-    """The bytes of each id, by reversing the byte table over the model's tokens."""
-    back = {c: b for b, c in byte_table().items()}
-    known = encoder(path, pattern).get_vocab()
+def pieces(path: str) -> list[bytes]:
+    """The bytes of each id, by reversing the byte table over the tokens as the model shows them; no model is made for it."""
+    table = byte_table()
+    back = {c: b for b, c in table.items()}
+    known = ranks(path)
     out = [b""] * (max(known.values()) + 1)
     for token, rank in known.items():
-        out[rank] = bytes(back[c] for c in token)
+        out[rank] = bytes(back[c] for c in "".join(table[b] for b in token))
     return out
 
 
@@ -197,31 +198,41 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     Columns of these names are replaced.
     """
 
-    def make(texts: list) -> list[pa.Array]:
-        rows = packer(path, pattern)([t or "" for t in texts])
-        return [pa.array([i for i, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary()), pa.array([len(i) // 4 for i, _ in rows], pa.int64())]
+    return mapped(docs, text, CODED, lambda texts: encoded_arrays(texts, path, pattern))
+
+
+CODED = "token_ids binary, token_spans binary, n_tokens long"
+
+
+def encoded_arrays(texts: list, path: str, pattern: str) -> list[pa.Array]:
+    rows = packer(path, pattern)([t or "" for t in texts])
+    return [pa.array([i for i, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary()), pa.array([len(i) // 4 for i, _ in rows], pa.int64())]
+
 
-    return mapped(docs, text, "token_ids binary, token_spans binary, n_tokens long", make)
+def decoded_array(packed: list, path: str) -> pa.Array:
+    table = pieces(path)
+    return pa.array([None if p is None else b"".join(map(table.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], pa.binary())
 
 
-def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(coded: DataFrame, path: str) -> DataFrame:
     """Adds decoded (binary) from token_ids; null ids give null.
 
     A character split over tokens comes out whole, since bytes are joined before any text is read.
     """
-
-    def make(packed: list) -> list[pa.Array]:
-        table = pieces(path, pattern)
-        return [pa.array([None if p is None else b"".join(map(table.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], pa.binary())]
-
-    return mapped(coded, "token_ids", "decoded binary", make)
+    return mapped(coded, "token_ids", "decoded binary", lambda packed: [decoded_array(packed, path)])
 
 
 def coded(docs: DataFrame) -> DataFrame:
+    """Encoded, then decoded from the ids, by one worker a task."""
     import public_tokenizers as P
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    return decode(encode(docs.select("doc_id", "text"), path, P.PATTERN), path, P.PATTERN)
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+    def make(texts: list) -> list[pa.Array]:
+        out = encoded_arrays(texts, path, pattern)
+        return [*out, decoded_array(out[0].to_pylist(), path)]
+
+    return mapped(docs.select("doc_id", "text"), "text", f"{CODED}, decoded binary", make)
 
 
 DIGESTS = ("token_ids", "ids_sha256"), ("decoded", "decoded_sha256"), ("token_spans", "spans_sha256")
