@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import read
+from .common import bounded, read
 
 #: Patterns with that property, which is theirs because white space stands at the start of a piece or fills it.
 SPACED = (
@@ -178,6 +178,7 @@ def runs(batch: pa.RecordBatch, at: int):
 
 def mapped(df: DataFrame, column: str, added: str, make) -> DataFrame:
     """The frame with the added columns (DDL; columns of these names are replaced); make(values) gives their arrays, run by run."""
+    bounded(df.sparkSession)
     fields = StructType.fromDDL(added)
     keep = [c for c in df.columns if c not in fields.names]
     at, places = df.columns.index(column), [df.columns.index(c) for c in keep]

@@ -1,6 +1,6 @@
 """Shared helpers: reading, checkpoints, word hashes, shingles, components.
 
-Arrow batches are bounded by Spark itself, in bytes (spark.sql.execution.arrow.maxBytesPerBatch) as in rows.
+Spark bounds Arrow batches in bytes (spark.sql.execution.arrow.maxBytesPerBatch); bounded() bounds their rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch, at most: whole texts of so many rows are held at once by each worker, and beside it.
+BATCH_ROWS = 512
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for all queries alike; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

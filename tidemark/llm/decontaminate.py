@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import grams, lists, read, word_hashes
+from .common import bounded, grams, lists, read, word_hashes
 
 
 SEED_WORDS = 4
@@ -81,6 +81,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, key
     at any score. start and end count words. Items with the same words all match. Null or blank texts and items match
     nothing. Candidates of an item are the passages around its seeds, merged where they overlap; every one is aligned.
     """
+    bounded(docs.sparkSession)
     out = None
     for find in finders(benchmark, least):
         part = docs.select(key, F.explode(find(word_hashes(F.col("text")))).alias("leak")).select(key, "leak.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udf
 
-from .common import read
+from .common import bounded, read
 
 
 #: Fixed values of HTML: elements without content, with raw content, that start a block, and that end an open p.
@@ -292,6 +292,7 @@ def main_text(html: str | None, trees: Boosted | None = None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame:
     """Adds the main text of each page."""
+    bounded(pages.sparkSession)
     trees = model()
 
     @arrow_udf("string")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Packed, runs
-from .common import cut, delete, read, scratch, shared_folder
+from .common import bounded, cut, delete, read, scratch, shared_folder
 
 
 ENTRY = "<qQIQII"
@@ -72,6 +72,7 @@ FILE_BYTES = 32 << 20
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, files: int | None = None) -> None:
     """Write ids in ascending doc_id order over files. Null text counts as empty; null ids come first; rows of one id in no set order."""
+    bounded(docs.sparkSession)
     if files is None:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = 1 + total // FILE_BYTES

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded, read
 
 
 #: Identity terms that are swapped for the next one of the list.
@@ -143,6 +143,7 @@ def fit(labelled: DataFrame, penalty: float = 1.0, l2: float = 1e-4, steps: int
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.3) -> DataFrame:
     """Adds score (0 to 1) and predicted; columns of these names are replaced. A text without any word of the model scores as the bias, at most as that of NOTHING."""
+    bounded(docs.sparkSession)
     keys, weights, bias = model
 
     from pyspark.sql.functions import arrow_udf
