@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from tidemark.llm.token_files import shared_folder
+from tidemark.llm.common import shared_folder
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -17,7 +17,7 @@ STAGES = [
     ("byte_bpe", bpe.stage),
 ]
 
-#: SQL cannot express these stages; tests/llm hold them against brute force.
+#: SQL cannot express these stages; tests/llm hold run() against its stages done by hand.
 ORACLE_SQL = None
 
 
