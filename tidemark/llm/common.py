@@ -1,6 +1,6 @@
 """Shared helpers: reading, checkpoints, word hashes, shingles, components.
 
-Spark bounds Arrow batches in bytes (spark.sql.execution.arrow.maxBytesPerBatch); bounded() bounds their rows.
+Arrow batches are bounded in rows and bytes by bounded(), and within cut().
 """
 
 from __future__ import annotations
@@ -37,15 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch, at most: whole texts of so many rows are held at once by each worker, and beside it.
+#: Rows and bytes of an Arrow batch, at most: so much is held at once by each worker, and beside it; a longer text stands alone.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
+
+ROWS_SETTING, BYTES_SETTING = (f"spark.sql.execution.arrow.{x}PerBatch" for x in ("maxRecords", "maxBytes"))
 
 
 def bounded(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for all queries alike; a lower setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES, for all queries alike; a lower number of rows stays."""
+    if not 0 < int(spark.conf.get(ROWS_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(ROWS_SETTING, str(BATCH_ROWS))
+    spark.conf.set(BYTES_SETTING, str(BATCH_BYTES))
 
 
 def delete(spark: SparkSession, folder: str) -> None:
@@ -73,7 +76,7 @@ def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     # what is cut is on disk, so the shuffle files behind it go at once rather than at some later collection of garbage
     # and Arrow batches are small, since some hold whole sets or texts
-    own = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+    own = {CLEANUP: "true", ROWS_SETTING: "256", BYTES_SETTING: str(BATCH_BYTES)}
     before = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():

@@ -24,7 +24,6 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +60,12 @@ def as_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
+def table_of(rows: list[tuple], names: tuple[str, ...], narrow: str = "") -> pa.Table:
+    """A table of integers; the column narrow has 32 bits. Groups are Arrow tables, so that no worker loads pandas."""
+    values = np.array(rows, np.int64).reshape(-1, len(names))
+    return pa.table([pa.array(values[:, k], pa.int64()).cast(pa.int32() if c == narrow else pa.int64()) for k, c in enumerate(names)], names=list(names))
+
+
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(grams(words, width))
 
@@ -293,16 +298,16 @@ def divided(large: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFrame
     theirs = pivots.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("s"), "node", "k")
     dealt = own.union(theirs).join(whole.select("node", "sh"), "node")
 
-    def measure(group: pd.DataFrame) -> pd.DataFrame:
-        k, node, rows = group.k.to_numpy(), group.node.to_numpy(), list(group.sh)
+    def measure(group: pa.Table) -> pa.Table:
+        g, k, node, rows = group.column("g")[0].as_py(), group.column("k").to_numpy(), group.column("node").to_numpy(), lists(group.column("sh"))
         out = []
         for q in np.flatnonzero(k >= 0):
             for x in np.flatnonzero(k < 0):
                 i = len(np.intersect1d(rows[x], rows[q], assume_unique=True))
-                out.append((group.g.iat[0], node[x], k[q], node[q], i, len(rows[x]) + len(rows[q]) - i))
-        return pd.DataFrame(out, columns=["g", "node", "k", "q", "i", "u"])
+                out.append((g, node[x], k[q], node[q], i, len(rows[x]) + len(rows[q]) - i))
+        return table_of(out, ("g", "node", "k", "q", "i", "u"), narrow="k")
 
-    at = cut(dealt.groupBy("g", "s").applyInPandas(measure, "g long, node long, k int, q long, i long, u long").withColumn("d", 1 - F.col("i") / F.col("u")))
+    at = cut(dealt.groupBy("g", "s").applyInArrow(measure, "g long, node long, k int, q long, i long, u long").withColumn("d", 1 - F.col("i") / F.col("u")))
     least = at.groupBy("g", "node").agg(F.min("d").alias("m"), F.min_by("d", "k").alias("d"))
     members = large.select("g", "node", "n", "pos").join(least, ["g", "node"])
     cells = members.drop("d").join(at.select("g", "node", "q", F.col("d").alias("e")), ["g", "node"]).where(F.col("e") <= F.col("m") + 2 * r + 1e-9)
@@ -331,12 +336,11 @@ def blocks(large: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     sides[1] = meet.where(~same).select(F.xxhash64(*task).alias("task"), "g", F.col("ring_y").alias("ring"), F.col("s_y").alias("s"), F.lit(1).alias("side"))
     dealt = own.join(sides[0].union(sides[1]), ["g", "ring", "s"]).select("task", "side", "node", "part").join(whole.select("node", "sh"), "node")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        side, node, part = group.side.to_numpy(), group.node.to_numpy(), group.part.to_numpy()
-        hits = similar(list(group.sh), side, percent)
-        return pd.DataFrame(forest(node, part, hits), columns=["a", "b"], dtype="int64")
+    def compare(group: pa.Table) -> pa.Table:
+        side, node, part = (group.column(c).to_numpy() for c in ("side", "node", "part"))
+        return table_of(forest(node, part, similar(lists(group.column("sh")), side, percent)), ("a", "b"))
 
-    return dealt.groupBy("task").applyInPandas(compare, "a bigint, b bigint")
+    return dealt.groupBy("task").applyInArrow(compare, "a bigint, b bigint")
 
 
 def similar(rows: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
