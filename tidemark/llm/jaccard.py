@@ -123,19 +123,29 @@ def most_overlap(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Arr
     return pa.array(out, pa.int32())
 
 
+def asked(ids: DataFrame) -> DataFrame:
+    """Distinct ids to join with: up to FEW_IDS of them are broadcast, so that the other side is not shuffled."""
+    ids = ids.distinct()
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
 def paired(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """The pairs with n and the given array of both sides; only sets that are in a pair are shuffled."""
+    """The pairs with n and the given array of both sides."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col(column).alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    own = lambda x: side(x).join(pairs.select(x).distinct(), x, "left_semi")
-    return pairs.join(own("a"), "a").join(own("b"), "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def verified(pairs: DataFrame, wins: DataFrame, bodies: "Bodies", percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union; windows first, then whole sets of what is left."""
     enough = lambda c: c * 100 >= percent * (F.col("na") + F.col("nb") - c)
-    left = cut(paired(cut(pairs), wins, "win").where(enough(most_overlap("sa", "na", "sb", "nb"))).select("a", "b"))
-    whole = bodies.of(left.select(F.col("a").alias("node")).union(left.select("b")))
-    return paired(left, whole, "sh").where(enough(overlap("sa", "sb"))).select("a", "b")
+    pairs = cut(pairs)
+    wins = wins.join(asked(nodes_of(pairs)), "node", "left_semi")
+    left = cut(paired(pairs, wins, "win").where(enough(most_overlap("sa", "na", "sb", "nb"))).select("a", "b"))
+    return paired(left, bodies.of(nodes_of(left)), "sh").where(enough(overlap("sa", "sb"))).select("a", "b")
 
 
 def near(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,22 +167,26 @@ def components_of(classes: DataFrame, named: DataFrame, key: str) -> DataFrame:
 
 
 def classified(docs: DataFrame, width: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, cls, n, win) of each row, and (cls, rep, part, component_id) of each class of a set that is not empty."""
+    """(id, cls, n) of each row, and (cls, rep, part, component_id) of each class of a set that is not empty."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     made = lambda late=None: rows.select("id", windows_of(width, percent, late)("t").alias("s")).select("id", "s.*")
-    classes = cut(made())
-    # node: a number of the class's own, fixed by the checkpoint
-    grouped = classes.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    reps = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
-    chosen = reps.select(F.col("rep").alias("id"), F.col("cls").alias("own"), "node")
-    # by id first, so that the join and the removal of repeated rows share one shuffle
-    only = lambda df: df.join(chosen, "id").where("cls = own").dropDuplicates(["id", "node"]).select("node", "n", "win")
-    bodies = Bodies(rows, reps, width)
-    first = only(classes)
-    counts = first.select(F.explode("win").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
-    common = cut(counts.where(F.col("c") > COMMON).select("pivot"))
-    few = common.limit(FEW_PIVOTS + 1).toArrow().column("pivot").to_numpy()
-    sets = cut(only(made(np.sort(few)))) if len(few) <= FEW_PIVOTS else cut(reordered(first, bodies, common, percent))
+    # copies of a text are put together before the shuffle, so that each class's window moves once
+    least = lambda df: df.where("n > 0 and id is not null").groupBy("cls").agg(F.min(F.struct("id", "n", "win")).alias("m")).select("cls", "m.*")
+    with scratch(docs.sparkSession):
+        every = cut(made())
+        classes = cut(every.select("id", "cls", "n"), outer=True)
+        # node: a number of the class's own, fixed by the checkpoint
+        first = cut(least(every).withColumn("node", F.monotonically_increasing_id()))
+        reps = cut(first.select(F.col("id").alias("rep"), "cls", "n", "node"), outer=True)
+        bodies = Bodies(rows, reps, width)
+        counts = first.select(F.explode("win").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
+        common = cut(counts.where(F.col("c") > COMMON).select("pivot"))
+        few = common.limit(FEW_PIVOTS + 1).toArrow().column("pivot").to_numpy()
+        if len(few) <= FEW_PIVOTS:
+            sets = least(made(np.sort(few))).join(reps.select("cls", "node"), "cls").select("node", "n", "win")
+        else:
+            sets = reordered(first.select("node", "n", "win"), bodies, common, percent)
+        sets = cut(sets, outer=True)
     named = cut(reps.join(joined(sets, bodies, percent), "node", "left").select("cls", "rep", F.coalesce("part", "node").alias("part")))
     return classes, named.join(named.groupBy("part").agg(F.min("rep").alias("component_id")), "part")
 
@@ -207,12 +221,9 @@ class Bodies:
         self.rows, self.reps, self.width = rows, reps, width
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, sh) of the nodes. Up to FEW_IDS ids are broadcast, so that no other text is shuffled; beyond that the join shuffles."""
+        """(node, n, sh) of the nodes; texts of up to FEW_IDS ids are found without a shuffle."""
         named = cut(self.reps.join(nodes.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("id"), F.col("cls").alias("own"), "node"))
-        ids = named.select("id").distinct()
-        if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
-            ids = F.broadcast(ids)
-        made = self.rows.join(ids, "id", "left_semi").select("id", classed_sets(self.width)("t").alias("s")).select("id", "s.*")
+        made = self.rows.join(asked(named.select("id")), "id", "left_semi").select("id", classed_sets(self.width)("t").alias("s")).select("id", "s.*")
         one = made.join(named, "id").where("cls = own").dropDuplicates(["id", "node"])
         return cut(one.select("node", F.size("sh").alias("n"), "sh"))
 
