@@ -121,7 +121,7 @@ def grams(values: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Texts are hashed in runs of about so many bytes, which bounds the arrays held at once; a longer text stands alone.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 @lru_cache(1)
@@ -162,7 +162,7 @@ def run_of_words(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         return [np.zeros(0, np.uint64)] * (len(ends) - 1)
     value, space = byte_values()
     base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
-    room = 1 << max(20, (len(data) + 1).bit_length())
+    room = max(RUN_BYTES, 1 << (len(data) + 1).bit_length())
     inside = ~space[data]
     before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
     before[ends[:-1][ends[:-1] < len(data)]] = False
