@@ -28,7 +28,7 @@ SPACED = (
 )
 
 #: Once a worker remembers so many distinct chunks, those it does not meet again among as many go; longer ones than so many signs are not remembered.
-CHUNKS = 150_000
+CHUNKS = 50_000
 LONG = 64
 
 
