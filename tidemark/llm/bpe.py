@@ -187,6 +187,8 @@ def mapped(df: DataFrame, column: str, added: str, make) -> DataFrame:
         for batch in batches:
             for part in runs(batch, at):
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in places] + make(part.column(at).to_pylist()), keep + fields.names)
+        # workers outlive tasks; what Arrow's pool holds unused goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, StructType([df.schema[c] for c in keep] + fields.fields))
 
