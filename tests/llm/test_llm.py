@@ -304,6 +304,27 @@ def test_toxicity_few_labels(spark):
     assert all(p == 0 for _, p in scores([r for r in few if r[2]])) and all(p == 0 for _, p in scores(few[:1]))
 
 
+def test_toxicity_driver_memory(spark):
+    """The fit holds its words a few times at most: 8 bytes a word arrive, and no more than seven times that is allocated."""
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.hex(F.xxhash64("doc_id", k) % 200_000)))
+    toxic = (F.col("doc_id") % 2).cast("int")
+    made = spark.range(3000).withColumnRenamed("id", "doc_id").select("doc_id", F.concat_ws(" ", words, F.when(toxic == 1, "idiot")).alias("text"), toxic.alias("toxic"))
+    tracemalloc.start()
+    try:
+        keys, weights, _ = toxicity.fit(made, steps=8)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(keys) and peak < 7 * 8 * 3000 * 400
+    values = np.random.default_rng(1).integers(-50, 50, 1000)
+    for v in (values, values[:0]):
+        assert all((a == b).all() for a, b in zip(toxicity.numbered(v, 64), np.unique(v, return_inverse=True)))
+
+
 def test_decontamination_edges(spark, tmp_path, monkeypatch):
     long = " ".join(f"w{i}" for i in range(300))
     item = "alpha beta gamma delta epsilon zeta eta theta"

@@ -74,6 +74,16 @@ def descend(row: np.ndarray, code: np.ndarray, n_words: int, y: np.ndarray, swap
     return w, float(b)
 
 
+def numbered(values: np.ndarray, run: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and each value's place among them, as np.unique gives them, at a third of its memory."""
+    keys = np.sort(values)
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    code = np.empty(len(values), np.int32)
+    for k in range(0, len(values), run):
+        code[k : k + run] = np.searchsorted(keys, values[k : k + run])
+    return keys, code
+
+
 def fit(labelled: DataFrame, penalty: float = 1.0, l2: float = 1e-4, steps: int = 400, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on (doc_id, text, toxic): sorted word hashes, their weights, and the bias.
 
@@ -91,25 +101,28 @@ def fit(labelled: DataFrame, penalty: float = 1.0, l2: float = 1e-4, steps: int
     n0, n1 = (p.num_rows for p in parts)
     if min(n0, n1) < 2:
         return NOTHING
+    # all of this stands in the driver's memory: places have 32 bits, classes and folds 8, and what is used up goes
+    swapped_rows = [(i, np.asarray(c.values, np.int64)) for i, c in enumerate(x for p in parts for x in p.column("c")) if c.is_valid]
     xs = pa.concat_tables(parts).column("x").combine_chunks()
-    off = xs.offsets.to_numpy()
-    row = np.repeat(np.arange(n0 + n1), np.diff(off))
-    keys, code = np.unique(xs.values.to_numpy(), return_inverse=True)
-    y = np.r_[np.zeros(n0, int), np.ones(n1, int)]
-    swapped_rows = [(i, np.asarray(c, np.int64)) for i, c in enumerate(x for p in parts for x in p.column("c").to_pylist()) if c is not None]
+    del parts
+    row = np.repeat(np.arange(n0 + n1, dtype=np.int32), np.diff(xs.offsets.to_numpy()))
+    keys, code = numbered(xs.values.to_numpy())
+    del xs
+    pa.default_memory_pool().release_unused()
+    y = np.repeat(np.arange(2, dtype=np.int8), [n0, n1])
 
     def trained(y: np.ndarray, cut: float, z: np.ndarray, steps: int) -> tuple[np.ndarray, float] | None:
         held = np.flatnonzero(z >= cut)
         if not len(held):
             return None
-        new = np.full(len(keys), -1)
+        new = np.full(len(keys), -1, np.int32)
         new[held] = np.arange(len(held))
         ok = (new[code] >= 0) & (y[row] >= 0)
         swaps = []
         for i, c in swapped_rows:
             at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
             swaps.append((i, new[at[(keys[at] == c) & (new[at] >= 0)]]))
-        w, b = descend(row[ok], new[code[ok]], len(held), y, swaps, penalty, l2, steps)
+        w, b = descend(row[ok].astype(int), new[code[ok]].astype(int), len(held), y, swaps, penalty, l2, steps)
         out = np.zeros(len(keys))
         out[held] = w
         return out, b
@@ -117,7 +130,7 @@ def fit(labelled: DataFrame, penalty: float = 1.0, l2: float = 1e-4, steps: int
     # each fold takes a share of either class; its words are chosen and weighted without its rows
     folds = min(FOLDS, n0, n1)
     place = np.r_[np.arange(n0), np.arange(n1)]
-    fold = np.where(place < FOLD_ROWS, place % folds, -1)
+    fold = np.where(place < FOLD_ROWS, place % folds, -1).astype(np.int8)
     early = fold[row] >= 0
     all_row, all_code, (row, code) = row, code, (row[early], code[early])
     loss = np.zeros(len(CUTS))
