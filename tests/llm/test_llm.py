@@ -93,6 +93,61 @@ def test_bpe_chunks_forgotten(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text).ids and len(spans) == 2 * len(ids)
 
 
+ODD = ["a", "bc", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\x00", "\u00a0", "\u3000", "\u200b", "\u0301", "é", "ñ", "×", "÷", "ß", "ª", "½", "Ω", "漢", "𝄞", "'", "'s", "'ll", "'S", "''", "12", "0", ".", "_", "$", "<|endoftext|>"]
+
+
+def odd_texts(count, seed):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 25))) for _ in range(count)] + [None, "", " " * 3, "long" * 100, "''" * 50]
+
+
+def test_bpe_words_learnt_once():
+    """A word is encoded once, whatever signs, digits or lines stand around it; what is met again isn't encoded again."""
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    make, learnt = bpe.Packed(bpe.encoder(path, P.PATTERN), True), []
+    learn = make.learn
+    make.learn = lambda chunks: (learnt.extend(chunks), learn(chunks))[1]
+    text = "a zorbley, zorbley. (zorbley) zorbley! zorbleyé, zorbley7\nzorbley"
+    for _ in range(2):
+        make([text])
+    assert sorted(learnt) == sorted(set(learnt)) and [c for c in learnt if c.strip() == b"zorbley"] == [b" zorbley", b"zorbley"]
+    # slices of a column, with nulls, against the library on whole texts
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    texts = odd_texts(4000, 5)
+    for a, b in ((0, len(texts)), (7, 900)):
+        ids, ends, spans = make.arrays(pa.array(texts, pa.string()).slice(a, b - a))
+        for k, t in enumerate(texts[a:b]):
+            assert ids[ends[k] : ends[k + 1]].tolist() == own.encode_ordinary(t or "")
+            assert [tuple(x) for x in spans[ends[k] : ends[k + 1]].tolist()] == make.model.encode(t or "").offsets
+
+
+def test_token_files_odd_texts():
+    """The file's tokenizer by chunks of bytes against its encoding of whole texts, with its added token within them, also with a short memory."""
+    import pyarrow as pa
+
+    texts = odd_texts(4000, 6)
+    make = token_files.packer(P.path("byte_bpe_50k.json"))
+    assert make.spaced and make.whole == ("<|endoftext|>",)
+    for column in (pa.array(texts, pa.string()), pa.chunked_array([pa.array(texts[:9], pa.large_string()), pa.array(texts[9:], pa.large_string())])):
+        ids, ends, _ = make.arrays(column)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [make.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    calls, learn = [], make.learn
+    make.learn = lambda chunks: (calls.append(len(chunks)), learn(chunks))[1]
+    try:
+        make.arrays(pa.array([t.replace("<|endoftext|>", "") for t in texts if t and len(t) < 60], pa.string()))
+        make.arrays(pa.array(["bc 12, bc"] * 9, pa.string()))
+        make.arrays(pa.array(["bc. 12 bc"] * 9, pa.string()))
+    finally:
+        del make.learn
+    assert calls[2] <= 2
+
+
 def brute_components(rows):
     import pyarrow as pa
 

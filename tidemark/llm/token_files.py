@@ -52,8 +52,10 @@ def frames(path: str, end_id: int):
         for batch in batches:
             for part in runs(batch, 1):
                 pending = []
-                for (ids, _), key in zip(make([t or "" for t in part.column(1).to_pylist()]), part.column(0).to_pylist()):
-                    raw = ids + end
+                ids, ends, _ = make.arrays(part.column(1))
+                ids, ends = ids.tobytes(), (4 * ends).tolist()
+                for a, b, key in zip(ends, ends[1:], part.column(0).to_pylist()):
+                    raw = ids[a:b] + end
                     packed = made.compress(raw)
                     table.append(struct.pack(ENTRY, key if key is not None else 0, at, len(packed), len(raw) // 4, zlib.crc32(raw), key is None))
                     at += len(packed) + 1
