@@ -208,6 +208,19 @@ def test_jaccard_brute_force(spark, monkeypatch, limits):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
 
 
+def test_jaccard_texts_hashed_once(spark, monkeypatch):
+    """No plan makes a text's set twice, nor those of texts that are not asked for."""
+    plans, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, **kw: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, **kw))[1])
+    rows = [(k, " ".join(f"w{k // 2}x{i}" for i in range(40)) + f" {k}") for k in range(12)]
+    got = jaccard.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(k, k // 2 * 2) for k in range(12)]
+    making = [p for p in plans if "[make(" in p]
+    assert len(making) >= 3 and all(p.count("[make(") == 1 for p in making)
+    asked = [p for p in making if "LeftSemi" in p]
+    assert asked and all(p.index("[make(") < p.index("LeftSemi") for p in asked)
+
+
 def test_jaccard_stage(spark):
     a, b = "one two three four five six seven eight nine ten", "red blue green black white pink grey cyan gold teal"
     rows = [(1, a, 9), (1, b, 9), (1, a, 9), (2, a, 9), (3, b, 9), (4, None, 9), (4, None, 9), (5, "", 9), (None, a, 9), (None, a, 9)]

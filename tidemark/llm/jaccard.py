@@ -70,6 +70,12 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(grams(words, width))
 
 
+def once(udf):
+    """The function, called once a row and where it stands: a filter on its result, stated or inferred (not null), would
+    otherwise be pushed below a join with the texts that are asked for and call it there for every text, and again above."""
+    return udf.asNondeterministic()
+
+
 def windows_of(width: int, percent: int, late: np.ndarray | None = None):
     """Of each text the hash and size of its set, and its window: pivots by hash, those of the sorted array late last."""
     late = np.zeros(0, np.int64) if late is None else late
@@ -80,13 +86,14 @@ def windows_of(width: int, percent: int, late: np.ndarray | None = None):
         for words in hashed_words(column):
             x = shingle_set(words, width)
             k = (100 - percent) * len(x) // 100 + 1
-            mask = np.isin(x, late, assume_unique=True) if len(late) else None
+            # late may be far longer than a set, and is sorted
+            mask = late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x if len(late) else None
             cls.append(hashlib.md5(x.tobytes()).digest())
             sizes.append(len(x))
             wins.append(np.concatenate([x[~mask], x[mask]])[:k] if mask is not None and mask.any() else x[:k].copy())
         return pa.StructArray.from_arrays([pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), as_lists(wins)], names=["cls", "n", "win"])
 
-    return make
+    return once(make)
 
 
 def class_of(width: int):
@@ -105,7 +112,7 @@ def classed_sets(width: int):
         rows = [shingle_set(x, width) for x in hashed_words(column)]
         return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in rows], pa.binary()), as_lists(rows)], names=["cls", "sh"])
 
-    return make
+    return once(make)
 
 
 @arrow_udf(IntegerType())
